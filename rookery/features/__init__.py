@@ -1 +1 @@
-
+"""Per-account features, one pass and one grouping per source table."""
