@@ -20,7 +20,6 @@ on the word sets themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +38,23 @@ SKETCH = 1 << 18
 RARE = 512
 #: Shards beyond this many rows are cut into blocks that meet pairwise.
 SHARD_ROWS = 8192
+#: Copies of other texts are told apart by a broadcast table up to so many rows, by a shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Tree nodes with at most so many points are leaves.
 LEAF = 128
 
 
-@lru_cache(500_000)
-def _word(w: str) -> int:
-    return xxhash.xxh64_intdigest(w) & MASK48
+class _Hashes(dict):
+    """48-bit hashes of words; emptied when it has grown, which changes time but no result."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w) & MASK48
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def least_common(n, m):
@@ -64,17 +73,18 @@ def prefixes(n):
     return n - least_common(n, n), n - least_common(n, smallest)
 
 
-def word_sets(texts: list[str | None], least: int) -> tuple[list[int], list[bytes]]:
-    """(positions, sorted 48-bit word hashes as 6-byte strings) of the texts with at least ``least`` distinct words."""
-    at, out = [], []
+def word_sets(texts: list[str | None], least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(positions, sizes, hashes in a row, sorted within each) of the texts with at least ``least`` distinct words."""
+    at, sizes, flat = [], [], []
+    word = _HASHES.__getitem__
     for i, t in enumerate(texts):
         words = set(WORD.findall(t.lower())) if t else ()
         if len(words) >= least:
             at.append(i)
-            h = np.fromiter(map(_word, words), np.uint64, len(words))
-            h.sort()
-            out.append(h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-    return at, out
+            sizes.append(len(words))
+            flat.extend(map(word, words))
+    h, n = np.array(flat, np.uint64), np.array(sizes, np.int64)
+    return at, n, h[np.lexsort((h, np.repeat(np.arange(len(n)), n)))]
 
 
 def _sets(df: DataFrame, key: str, text: str, least: int, with_words: bool) -> DataFrame:
@@ -82,12 +92,19 @@ def _sets(df: DataFrame, key: str, text: str, least: int, with_words: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, words = word_sets(b.column(1).to_pylist(), least)
-            h = np.array([xxhash.xxh3_128_digest(w) for w in words], "S16").astype("V16").view(np.int64).reshape(-1, 2) if words else np.zeros((0, 2), np.int64)
-            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(h[:, 0]), pa.array(h[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(words, pa.binary())] if with_words else []), names=["id", "h1", "h2"] + ["words"] * with_words)
-
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+            at, n, h = word_sets(b.column(1).to_pylist(), least)
+            six = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            ends = np.concatenate([[0], np.cumsum(n * 6)]).astype(np.int32)
+            view, e = memoryview(six), ends.tolist()
+            digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(e, e[1:])]), np.int64).reshape(-1, 2)
+            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            if with_words:
+                cols.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(six)]))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2"] + ["words"] * with_words)
+
+    # so many words need at least as many letters and separators between them
+    long_enough = F.char_length(text) >= 2 * least - 1
+    rows = df.where(F.col(key).isNotNull() & long_enough).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint" + ", words binary" * with_words)
 
 
@@ -168,12 +185,12 @@ def _keyed(reps: DataFrame, counts: np.ndarray, rare: int) -> DataFrame:
                 flat, n = _flat(part.column(1))
                 d, key, small = shard_keys(flat, n, shipped.value, rare)
                 fp, rep = fingerprints(flat, n), part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(rep[d]), pa.array(n[d].astype(np.int32)), pa.array(small), pa.array(fp[d].view(np.int64))],
-                    names=["key", "rep", "n", "small", "fp"],
-                )
+                size = (n[d] * 2 + small).astype(np.int32)
+                # 40 bits of the key: shards that fall together are merely searched together
+                cols = [pa.array((key >> np.uint64(24)).astype(np.int64)), pa.array(rep[d]), pa.array(size), pa.array(fp[d].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "size", "fp"])
 
-    return reps.select("rep", "words").mapInArrow(run, "key bigint, rep bigint, n int, small boolean, fp bigint")
+    return reps.select("rep", "words").mapInArrow(run, "key bigint, rep bigint, size int, fp bigint")
 
 
 def tree_pairs(rep: np.ndarray, n: np.ndarray, small: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,12 +273,11 @@ def _search(rows: DataFrame) -> DataFrame:
         held: list[list[np.ndarray]] = []
         rows_held = 0
         for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if not len(c[0]):
+            key, rep, size, fp = (b.column(i).to_numpy() for i in range(4))
+            if not len(key):
                 continue
-            c[2], c[4] = c[2].astype(np.int64), c[4].view(np.uint64)
-            held.append(c)
-            rows_held += len(c[0])
+            held.append([key, rep, (size >> 1).astype(np.int64), (size & 1).astype(bool), fp.view(np.uint64)])
+            rows_held += len(key)
             if rows_held < 100_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
@@ -278,7 +294,7 @@ def _search(rows: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose word sets are at least 0.7 similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    needed = reps.select("rep", "words").join(ids, "rep", "left_semi")
+    needed = reps.select("rep", "words").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
     both = pairs.join(needed.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(needed.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +314,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
 
     A word is a longest run of letters and digits of the lower-cased text; similarity is the number of
     distinct words in both texts over the number in either. ``links`` are pairs (a, b), a < b, of class
-    representatives, ``members`` is (rep, id) with a row for every text that takes part; texts of equal word
+    representatives, ``members`` is (rep, id, copies) with a row for every text that takes part; texts of equal word
     sets form a class represented by its smallest id. A text with fewer than ``least_words`` distinct words,
     null and empty ones included, takes no part. Rows delivered again (same id and text) count once, rows
     with a null id do not count. An empty table gives no rows. Other columns are not read. Words are
@@ -307,9 +323,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
 
     Sent to the driver: the frequency sketch, 2^18 counters whatever the size of the corpus.
     """
-    sets = _sets(df, key, text, least_words, True)
-    first = sets.groupBy("h1", "h2").agg(F.min(F.struct("id", "words")).alias("r"))
-    reps = cut(first.select("h1", "h2", F.col("r.id").alias("rep"), F.col("r.words").alias("words")), "wordsets")
+    sets = cut(_sets(df, key, text, least_words, False).distinct(), "wordsets")
+    classes = sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = sets.join(classes, ["h1", "h2"]).select("rep", "id", "copies", "h1", "h2")
+    copies = members.where("id <> rep").select("id", "h1", "h2")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    words = _sets(df, key, text, least_words, True).join(copies, ["id", "h1", "h2"], "left_anti")
+    reps = cut(words.select(F.col("id").alias("rep"), "words"), "words")
     keyed = _keyed(reps, _sketch(reps), rare).repartition("key")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHARD_ROWS)
     whole = keyed.join(large.select("key"), "key", "left_anti").sortWithinPartitions("key")
@@ -317,11 +338,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
     blocks = F.ceil(F.col("rows") / SHARD_ROWS * 2).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks)
     other = keyed.join(large, "key").withColumn("k", blocks).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    other = other.withColumn("key", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o"))).select("key", "rep", "n", "small", "fp").repartition("key").sortWithinPartitions("key")
-    pairs = _search(whole.select("key", "rep", "n", "small", "fp")).unionAll(_search(other)).distinct()
+    other = other.withColumn("key", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o"))).select("key", "rep", "size", "fp").repartition("key").sortWithinPartitions("key")
+    pairs = _search(whole.select("key", "rep", "size", "fp")).unionAll(_search(other)).distinct()
     links = _verified(pairs, reps)
-    members = _sets(df, key, text, least_words, False).distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id")
-    return links, members
+    return links, members.select("rep", "id", "copies")
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -329,5 +349,6 @@ def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     m = members
     cross = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     cross = cross.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = m.select("rep", F.col("id").alias("id_a")).join(m.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
+    many = m.where("copies > 1")
+    same = many.select("rep", F.col("id").alias("id_a")).join(many.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
     return cross.where("id_a < id_b").unionAll(same)
