@@ -36,7 +36,8 @@ def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, hot_share: floa
     Every reference is matched as of its instant to the preceding run start of its key and is an orphan when
     there is none or the run has ended: ``gone`` (a run ended before), ``later`` (the key comes only later) or
     ``never`` (the key has no run at all). References with a null key or instant refer to nothing and are not
-    reported. Columns of ``refs`` are kept; names that this operator uses inside do not clash with them.
+    reported. Columns of ``refs`` are kept, whatever their names; one called orphan_kind is replaced. Empty
+    inputs give no rows, or, without runs, every reference as ``never``. Equal rows are reported each.
 
     References and runs are merged in one sorted pass per (key, salt). A key with at least ``hot_share`` of
     all references (at most 1 / hot_share keys, which bounds what is broadcast) is split into ``salts``
@@ -46,9 +47,11 @@ def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, hot_share: floa
     counts = live.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all_n"))
     hot = counts.where("n > 1000").join(F.broadcast(total), F.col("n") >= F.col("all_n") * hot_share).select(F.col("k").alias("hot_k"))
-    payload = F.struct(*[F.col(f"`{c}`") for c in refs.columns])
+    kept = [c for c in refs.columns if c != "orphan_kind"]
+    payload = F.struct(*[F.col(f"`{c}`") for c in kept])
     keyed = live.select(F.col(key).alias("k"), F.col(at).alias("t"), payload.alias("row"))
-    slot = F.pmod(F.xxhash64("t", "row"), F.lit(salts)).cast("int")
+    hashable = [F.col(f"row.`{c}`") for c in kept if "map" not in refs.schema[c].dataType.simpleString() and "variant" not in refs.schema[c].dataType.simpleString()]
+    slot = F.pmod(F.xxhash64("t", *hashable), F.lit(salts)).cast("int")
     left = keyed.join(F.broadcast(hot), F.col("k") == F.col("hot_k"), "left").select(
         "k", "t", F.when(F.col("hot_k").isNotNull(), slot).otherwise(0).alias("salt"), "row", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("e")
     )

@@ -25,8 +25,8 @@ def snapshot_changes(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
     names of the differing fields in order, null for added and removed. Null equals null and differs from
     the empty string. Rows repeated inside a snapshot count once. Should a snapshot hold several different
     rows of one key, the key is changed when the sets of its cells differ. Rows with a null in a key or in
-    ``snapshot`` identify nothing and are left out. A single snapshot has no changes. Columns other than
-    those named are not read.
+    ``snapshot`` identify nothing and are left out. An empty table or a single snapshot has no changes.
+    Columns other than those named, whatever they are called, are not read.
 
     One shuffle of whole rows by key; distinct, unpivoting and both sums stay in that partitioning.
     """
@@ -36,7 +36,7 @@ def snapshot_changes(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
         *[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(snapshot).alias("at"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]
     )
     rows = rows.repartition(*ks).distinct()
-    at = F.array(*[F.lit(t).cast("bigint") for t in times])
+    at = F.array(*[F.lit(t).cast("bigint") for t in times]).cast("array<bigint>")
     pos = F.array_position(at, F.col("at").cast("bigint")).cast("int")
     # pair p compares snapshots p and p + 1 (from 1); the row is the later of pair pos - 1 and the earlier of pair pos
     signed = F.filter(
