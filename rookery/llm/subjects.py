@@ -115,11 +115,11 @@ def _lookup(vocabulary: np.ndarray, feature: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == feature, at, -1)
 
 
-def _sum_rows(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of ``values`` by ``row`` (sorted)."""
-    out = np.zeros((n, values.shape[1]))
-    for k in range(values.shape[1]):
-        out[:, k] = np.bincount(row, weights=values[:, k], minlength=n)
+def _sum_rows(row: np.ndarray, weights: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows ``col`` of ``weights`` by ``row``, a column at a time so that nothing large is gathered."""
+    out = np.zeros((n, weights.shape[1]))
+    for k in range(weights.shape[1]):
+        out[:, k] = np.bincount(row, weights=np.ascontiguousarray(weights[:, k])[col], minlength=n)
     return out
 
 
@@ -131,7 +131,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def languages_of(m: Model, s: Sentences, idx: np.ndarray, n_docs: int) -> np.ndarray:
     """The most probable language of every document, from its words alone."""
     ok = idx >= 0
-    score = _sum_rows(s.doc[s.sentence[ok]], m.language_weights[idx[ok]], n_docs) + m.language_prior
+    score = _sum_rows(s.doc[s.sentence[ok]], m.language_weights, idx[ok], n_docs) + m.language_prior
     return score.argmax(axis=1)
 
 
@@ -215,7 +215,7 @@ def _fit_language(mine: np.ndarray, s: Sentences, idx: np.ndarray, allow: np.nda
             w[:, k] = np.bincount(col, weights=p[row, k], minlength=nv)
         w = np.log((w + 2 * background[:, None] + 1e-9) / (total + 2))
         prior = np.log((total + 1) / (total.sum() + ns1))
-        p = _softmax(_sum_rows(row, w[col], len(mine)) + prior + np.log(a))
+        p = _softmax(_sum_rows(row, w, col, len(mine)) + prior + np.log(a))
     return w.astype(np.float32), prior
 
 
@@ -233,7 +233,7 @@ def votes(m: Model, texts: list[str | None], sources: list[str | None]) -> tuple
             number = np.full(len(s.doc), -1)
             number[mine] = np.arange(len(mine))
             sel = ok & (number[s.sentence] >= 0)
-            score = _sum_rows(number[s.sentence[sel]], m.weights[k][idx[sel]].astype(float), len(mine)) + m.priors[k]
+            score = _sum_rows(number[s.sentence[sel]], m.weights[k], idx[sel], len(mine)) + m.priors[k]
             kind[mine] = score.argmax(1)
     hit = kind < ns
     count = np.zeros((n, ns), np.int64)
