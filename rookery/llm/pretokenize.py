@@ -126,6 +126,6 @@ def pieces(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     points[ends] = SEP
     s = np.flatnonzero(scan_starts(classes(points)))
     doc = np.searchsorted(ends, s)
-    e = np.append(s[1:], len(points))
+    e = np.append(s[1:], len(points))[: len(s)]
     np.minimum(e, ends[doc], out=e)
     return joined, s, e, np.bincount(doc, minlength=len(texts))
