@@ -339,7 +339,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
     mine = F.pmod(F.xxhash64("rep"), blocks)
     other = keyed.join(large, "key").withColumn("k", blocks).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     other = other.withColumn("key", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o"))).select("key", "rep", "size", "fp").repartition("key").sortWithinPartitions("key")
-    pairs = _search(whole.select("key", "rep", "size", "fp")).unionAll(_search(other)).distinct()
+    pairs = cut(_search(whole.select("key", "rep", "size", "fp")).unionAll(_search(other)).distinct(), "pairs")
     links = _verified(pairs, reps)
     return links, members.select("rep", "id", "copies")
 
