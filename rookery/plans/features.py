@@ -134,11 +134,9 @@ def trust_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GROWTH = "arg_max(units, row(timestamp, id)) - arg_min(units, row(timestamp, id))"
-_STORE = V.with_views("st", "SELECT *, "
-    + rounded(resource_utilization="0.5 * storage_efficiency + 0.3 * storage_stability + 0.2 * (1 - greatest(least(storage_growth_rate, 1), 0))")
-    + " FROM x", "x AS (SELECT fid, "
-    + rounded(storage_units="avg(units)", storage_utilization="max(units)", storage_growth=_GROWTH, storage_stability="stddev_samp(units)", storage_efficiency="avg(units) / nullif(max(units), 0)", storage_growth_rate=f"({_GROWTH}) / count(*)")
-    + ", " + whole(storage_update_frequency="count(*)") + " FROM st WHERE deleted_at IS NULL GROUP BY fid)")
+_STORE = V.with_views("st", "SELECT fid, "
+    + rounded(storage_units="a", storage_utilization="m", storage_growth="g", storage_stability="sd", storage_efficiency="a / nullif(m, 0)", storage_growth_rate="g / n", resource_utilization="0.5 * a / nullif(m, 0) + 0.3 * coalesce(sd, 0) + 0.2 * (1 - greatest(least(g / n, 1), 0))")
+    + ", " + whole(storage_update_frequency="n") + " FROM x", f"x AS (SELECT fid, avg(units) AS a, max(units) AS m, {_GROWTH} AS g, stddev_samp(units) AS sd, count(*) AS n FROM st WHERE deleted_at IS NULL GROUP BY fid)")
 
 
 @R.add(_STORE)
