@@ -50,7 +50,7 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return E.induced(_live(spark, d), V.labels(spark, d)).select("fid", "target_fid")
 
 
-@R.add(V.with_views("f", "SELECT fid, sum(o) AS out_degree, sum(i) AS in_degree FROM (SELECT fid, 1 AS o, 0 AS i FROM lf UNION ALL SELECT target_fid, 0, 1 FROM lf) GROUP BY fid", "lf AS (SELECT * FROM f WHERE deleted_at IS NULL)"))
+@R.add(V.with_views("f", "SELECT fid, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT fid, 1 AS o, 0 AS i FROM lf UNION ALL SELECT target_fid, 0, 1 FROM lf) GROUP BY fid", "lf AS (SELECT * FROM f WHERE deleted_at IS NULL)"))
 def degree_full_join(spark: SparkSession, d: str) -> DataFrame:
     from rookery.features.network import degrees
 

@@ -29,8 +29,11 @@ class Registry:
 
 
 def rounded(**cols: str) -> str:
-    """SQL select list of fractions rounded as the features are: null becomes 0."""
-    return ", ".join(f"coalesce(round(CAST(({e}) AS DOUBLE), 6), 0.0) AS {n}" for n, e in cols.items())
+    """SQL select list of fractions rounded as the features are: halves away from 0, null becomes 0.
+
+    The SQL engine rounds some exact halves down; a nudge far below the last digit makes it agree.
+    """
+    return ", ".join(f"coalesce(round(CAST(({e}) AS DOUBLE) + sign(CAST(({e}) AS DOUBLE)) * 1e-12, 6), 0.0) AS {n}" for n, e in cols.items())
 
 
 def whole(**cols: str) -> str:

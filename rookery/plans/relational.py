@@ -231,10 +231,10 @@ def hex_render(spark: SparkSession, d: str) -> DataFrame:
 _LIST = "CASE WHEN json_valid(verified_addresses) THEN list_distinct(list_filter(CAST(json_extract_string(verified_addresses, '$[*]') AS VARCHAR[]), lambda a: starts_with(a, '0x') AND length(a) = 42)) ELSE [] END"
 
 
-@R.add(V.with_views("p", "SELECT DISTINCT fid, a AS address FROM x WHERE a IN (SELECT a FROM (SELECT DISTINCT fid, a FROM x) GROUP BY a HAVING count(*) > 1)", f"x AS (SELECT fid, unnest({_LIST}) AS a FROM p)"))
+@R.add(V.with_views("p", "SELECT a AS address, count(DISTINCT fid) AS n_accounts FROM x GROUP BY a", f"x AS (SELECT fid, unnest({_LIST}) AS a FROM p)"))
 def shared_addresses(spark: SparkSession, d: str) -> DataFrame:
     x = V.profiles(spark, d).select("fid", F.explode(X.address_list("verified_addresses")).alias("address")).distinct()
-    return O.duplicated(x, "address")
+    return x.groupBy("address").agg(F.count(F.lit(1)).alias("n_accounts"))
 
 
 @R.add("SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
