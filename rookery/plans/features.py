@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.features import content, identity, network, temporal
+from rookery.features import content, identity, network, reputation, temporal
 from rookery.features.common import left_joined
+from rookery.functions.text import address_list
+from rookery.ml.labels import target_of
 from rookery.plans.registry import Registry, rounded, whole
 from rookery.sources import views as V
 from rookery.sources.tables import activity, table
@@ -296,6 +298,87 @@ def power_user_interaction(spark: SparkSession, d: str) -> DataFrame:
     return content.power_interactions(V.casts(spark, d, ["fid", "deleted_at", "parent_fid", "mentions"]), V.reactions(spark, d), power)
 
 
+_ACT = "ac AS (SELECT user_id AS fid, event_id AS id, event_type AS activity_type, ts AS timestamp, value AS impact_score, avg(value) OVER (PARTITION BY user_id) AS mean FROM events)"
+
+
+@R.add("WITH " + _ACT + ", " + _gaps("ac") + ", k AS (SELECT fid, count(*) AS kinds, sum(k) AS typed, stddev_samp(k) AS k_sd, avg(k) AS k_mean, count(*) FILTER (k = 1) AS rare, sum(k * k) / sum(k) AS krm FROM (SELECT fid, activity_type, count(*) AS k FROM ac GROUP BY ALL) GROUP BY fid) SELECT a.* EXCLUDE (m), "
+    + rounded(adaptability_score="kinds / typed", communication_style="k_sd / nullif(k_mean, 0)", innovation_index="rare / kinds", potential_score="m * krm")
+    + " FROM (SELECT fid, max(mean) AS m, " + rounded(peer_reputation="max(mean)", authority_score="count(*) FILTER (impact_score > mean) / count(*)", community_standing="stddev_samp(impact_score) / nullif(max(mean), 0)", activity_authenticity="stddev_samp(impact_score) / nullif(max(mean), 0)", behavior_consistency="stddev_samp(gap_h) / nullif(avg(gap_h), 0)", pattern_reliability="stddev_samp(gap_h) FILTER (impact_score > mean)", response_quality="avg(impact_score) FILTER (activity_type = 'click')", collaboration_score="avg(impact_score) FILTER (activity_type IN ('click', 'view'))", value_generation="avg(impact_score) FILTER (impact_score > mean)", resilience_metric="1 - count(*) FILTER (impact_score < 0) / count(*)") + " FROM g GROUP BY fid) a JOIN k USING (fid)")
+def activity_reputation(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("fid"), F.col("event_id").alias("id"), F.col("event_type").alias("activity_type"), F.col("ts").alias("timestamp"), F.col("value").alias("impact_score"))
+    return reputation.activity_reputation(e, responses=["click"], collaboration=["click", "view"])
+
+
+@R.add("SELECT fid, " + rounded(engagement_quality="avg(q)", content_impact="avg(r * q)", interaction_value="avg(q / nullif(r, 0))") + " FROM (SELECT l_suppkey AS fid, l_discount AS r, l_quantity AS q FROM lineitem) GROUP BY fid")
+def rated_engagement(spark: SparkSession, d: str) -> DataFrame:
+    return reputation.rated_engagement(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("fid"), F.col("l_discount").alias("engagement_rate"), F.col("l_quantity").alias("quality_score")))
+
+
+_SC = "sc AS (SELECT fid, coalesce(follower_count, 0)::DOUBLE AS score, row(created_at, export_ts) AS o FROM fc)"
+_HIST = "SELECT fid, " + rounded(last_score="arg_max(score, o)", avg_score="avg(score)", score_std="stddev_samp(score)", score_range="max(score) - min(score)", score_trend="arg_max(score, o) - arg_min(score, o)", relative_trend="(arg_max(score, o) - arg_min(score, o)) / nullif(arg_min(score, o), 0)") + " FROM sc GROUP BY fid"
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    h = V.follow_counts(spark, d).groupBy("fid", "created_at", "export_ts").agg(F.max("follower_count").alias("score"))
+    return reputation.score_history(h, ("created_at", "export_ts"))
+
+
+@R.add(V.with_views("fc", _HIST, _SC))
+def score_history(spark: SparkSession, d: str) -> DataFrame:
+    return _history(spark, d)
+
+
+_AUTH = f"""pr AS ({_profile_sql()}), cn AS (SELECT fid, {whole(follower_count=_LASTF, following_count=_LASTG)} FROM fc GROUP BY fid), up AS ({_intervals_sql("v", "id", "updates", "deleted_at IS NULL")}),
+au AS (SELECT fid, (has_bio + has_avatar + has_ens + (verification_count > 0)::INT) / 4 AS w, CASE WHEN coalesce(f, 0) + coalesce(g, 0) > 0 THEN 1 - abs(coalesce(f, 0) - coalesce(g, 0)) / (coalesce(f, 0) + coalesce(g, 0)) ELSE 0 END AS b, CASE WHEN coalesce(u, 0) > 0 THEN 1 - least(greatest(c, 0), 1) ELSE 0 END AS n
+  FROM (SELECT pr.*, cn.follower_count AS f, cn.following_count AS g, up.updates_count AS u, up.updates_consistency AS c FROM pr LEFT JOIN cn USING (fid) LEFT JOIN up USING (fid)))"""
+_AUTH_SELECT = "SELECT fid, " + rounded(network_balance="b", update_naturalness="n", authenticity_score="0.4 * w + 0.3 * b + 0.3 * n") + " FROM au"
+
+
+def _authentic(spark: SparkSession, d: str) -> DataFrame:
+    return reputation.authenticity(identity.profile(V.profiles(spark, d)), network.counters(V.follow_counts(spark, d)), update_behavior(spark, d))
+
+
+@R.add(V.with_views("fc", _AUTH_SELECT, _AUTH))
+def account_authenticity(spark: SparkSession, d: str) -> DataFrame:
+    return _authentic(spark, d)
+
+
+@R.add(V.with_views("fc", "SELECT fid, " + rounded(score_divergence="abs(last_score - authenticity_score)", relative_score_diff="(last_score - authenticity_score) / (authenticity_score + 1e-6)") + f" FROM ({_HIST}) JOIN ({_AUTH_SELECT}) USING (fid)", _SC + ", " + _AUTH))
+def score_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return reputation.score_divergence(_history(spark, d), _authentic(spark, d))
+
+
+@R.add(V.with_views("p", "SELECT fid, coalesce(max((avatar_url IS NOT NULL)::INT) + max((bio IS NOT NULL)::INT), 0)::BIGINT AS additional_profile_fields, 0::BIGINT AS profile_age_hours, coalesce(max((bio IS NOT NULL)::INT), 0)::BIGINT AS has_location_info FROM p GROUP BY fid"))
+def profile_details(spark: SparkSession, d: str) -> DataFrame:
+    p = V.profiles(spark, d).select("fid", F.col("avatar_url").alias("url"), F.col("bio").alias("location"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return reputation.profile_details(p)
+
+
+@R.add(V.with_views("c", "SELECT fid, " + whole(unique_channels_followed="a.u", rapid_channel_follows="a.r", channel_memberships="m.n", unique_channel_memberships="m.u") + ", " + rounded(channel_follow_hour_std="h.sd", channel_follow_burst_ratio="coalesce(a.r, 0) / (coalesce(a.u, 0) + 1)", channel_engagement_ratio="coalesce(m.n, 0) / (coalesce(m.u, 0) + 1)")
+    + " FROM (SELECT fid, count(DISTINCT parent_url) AS u, count(*) FILTER (gap_s < 60) AS r FROM g GROUP BY fid) a LEFT JOIN (SELECT fid, stddev_samp(n) AS sd FROM (SELECT fid, count(*) AS n FROM g GROUP BY fid, hour(timestamp)) GROUP BY fid) h USING (fid) FULL JOIN (SELECT fid, count(*) AS n, count(DISTINCT parent_url) AS u FROM c WHERE parent_url IS NOT NULL AND deleted_at IS NULL AND parent_hash IS NULL GROUP BY fid) m USING (fid)",
+    _gaps("c", "parent_url IS NOT NULL AND deleted_at IS NULL")))
+def channels_followed(spark: SparkSession, d: str) -> DataFrame:
+    c = V.casts(spark, d, ["fid", "timestamp", "parent_url", "parent_hash", "deleted_at"]).where("parent_url IS NOT NULL").withColumnRenamed("parent_url", "channel_id")
+    return reputation.channels_followed(c, c.where("parent_hash IS NULL"))
+
+
+@R.add(V.with_views("p", f"SELECT fid, max(s.score) AS score FROM (SELECT fid, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS a FROM (SELECT fid, CASE WHEN json_valid(verified_addresses) THEN list_distinct(list_filter(CAST(json_extract_string(verified_addresses, '$[*]') AS VARCHAR[]), lambda a: starts_with(a, '0x') AND length(a) = 42)) ELSE [] END AS a FROM p)) x LEFT JOIN (SELECT lower(o_orderstatus) AS k, max(o_totalprice) AS score FROM orders GROUP BY 1) s ON s.k = substr(x.a, 3, 1) GROUP BY fid"))
+def address_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of an address is here that of the order status its first digit names."""
+    a = V.profiles(spark, d).select("fid", F.transform(address_list("verified_addresses"), lambda x: F.substring(x, 3, 1)).alias("addresses"))
+    return reputation.address_scores(a, table(spark, d, "orders").select(F.lower("o_orderstatus").alias("recipient"), F.col("o_totalprice").alias("score")))
+
+
+@R.add("SELECT fid, arg_max(fname, row(export_ts, fname)) AS fname FROM profile_with_addresses WHERE fid IS NOT NULL GROUP BY fid")
+def latest_names(spark: SparkSession, d: str) -> DataFrame:
+    return reputation.latest_names(table(spark, d, "profile_with_addresses").select("fid", "fname", F.col("export_ts").alias("updated_at")))
+
+
+@R.add("SELECT DISTINCT id, coalesce(CASE WHEN json_valid(mentions) THEN TRY_CAST(json_extract_string(mentions, '$[0]') AS BIGINT) END, TRY_CAST(nullif(regexp_extract(CASE WHEN json_valid(embeds) THEN json_extract_string(embeds, '$[0].url') END, '[?&]fid=([^&#]*)', 1), '') AS BIGINT)) AS about FROM casts")
+def target_of_cast(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "casts").select("id", target_of("mentions", "embeds").alias("about")).distinct()
+
+
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     """All groups on the spine of profiled accounts, missing features 0."""
     c = V.casts(spark, d)
