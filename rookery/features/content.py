@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.features.common import finish
-from rookery.features.gaps import with_gaps
+from rookery.features.gaps import with_gaps, with_running_count
 from rookery.functions.safe import count_if, sdiv
 from rookery.functions.text import PATTERNS, count_of, has, json_list_size, share_of_symbol, words
 
@@ -139,11 +139,8 @@ def style(casts: DataFrame) -> DataFrame:
 
 def conversation(casts: DataFrame) -> DataFrame:
     """How the account takes part in threads; live posts, running replies ordered by (timestamp, id)."""
-    from pyspark.sql import Window
-
     live = casts.where("deleted_at IS NULL AND timestamp IS NOT NULL")
-    upto = Window.partitionBy("fid").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, 0)
-    x = live.withColumn("depth", F.count("parent_hash").over(upto))
+    x = with_running_count(live, "fid", "timestamp", "id", "parent_hash", "depth")
     a = x.groupBy("fid").agg(
         _mean(F.col("parent_hash").isNull()).alias("conversation_initiation_rate"),
         F.avg("depth").alias("conversation_depth"),

@@ -27,6 +27,21 @@ def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month")
     return out.withColumns({c: gap(u, F.col("prev_ts"), F.col(ts)) for c, u in units.items()})
 
 
+def with_running_count(df: DataFrame, key: str, ts: str, tie: str, counted: str, out: str, chunk: str = "month") -> DataFrame:
+    """``df`` with the number of non-null values of ``counted`` up to and including each row, by key in order of (ts, tie).
+
+    Null times come first. Runs inside (key, calendar chunk) with the count of the chunks before added from
+    one summary row per key and chunk; rows with a null key are dropped.
+    """
+    live = df.where(F.col(key).isNotNull()).withColumn("chunk__", F.coalesce(F.date_trunc(chunk, F.col(ts)).cast("date"), F.lit("0001-01-01").cast("date"))).repartition(key, "chunk__")
+    upto = Window.partitionBy(key, "chunk__").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    per = live.groupBy(key, "chunk__").agg(F.count(counted).alias("n__"))
+    earlier = Window.partitionBy(key).orderBy("chunk__").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(F.col(key).alias("key__"), F.col("chunk__").alias("at__"), F.coalesce(F.sum("n__").over(earlier), F.lit(0)).alias("before__"))
+    x = live.withColumn("own__", F.count(counted).over(upto)).join(before, (F.col(key) == F.col("key__")) & (F.col("chunk__") == F.col("at__")))
+    return x.withColumn(out, F.col("own__") + F.col("before__")).drop("own__", "before__", "key__", "at__", "chunk__")
+
+
 def nearest_quantiles(df: DataFrame, key: str, value: str, qs: Sequence[float]) -> DataFrame:
     """(key, q<percent> ...): the order statistics at round((n - 1) q) of a whole-numbered value, nulls left out.
 

@@ -23,18 +23,24 @@ def priors(vertices: DataFrame, labels: DataFrame, benign: float, sybil: float,
     return vertices.select("id").distinct().join(l, "id", "left").select("id", prior.alias("prior"))
 
 
-def propagate(vertices: DataFrame, edges: DataFrame, update: Callable[[Column, Column, Column], Column], rounds: int, cut_every: int = 5) -> DataFrame:
+def propagate(vertices: DataFrame, edges: DataFrame, update: Callable[[Column, Column, Column], Column], rounds: int, cut_every: int = 2) -> DataFrame:
     """Vertices (id, prior, post) after ``rounds`` of post = update(post, prior, sum of weighted neighbours' posts).
 
     ``edges`` is (src, dst, weight); dst receives weight * post(src). A vertex without edges receives 0.
     """
+    if rounds <= 0:
+        return vertices
+    # edges stay where their sender is: every round shuffles vertex states and partial sums only
+    e = cut(edges.select("src", "dst", "weight"), "edges").repartition("src").persist()
     state = vertices
-    e = cut(edges.select("src", "dst", "weight"), "edges") if rounds > 1 else edges
-    for i in range(rounds):
-        sent = e.join(state.select(F.col("id").alias("src"), F.col("post").alias("x")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("got"))
-        state = state.join(sent, "id", "left").select("id", "prior", update(F.col("post"), F.col("prior"), F.coalesce("got", F.lit(0.0))).alias("post"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            state = cut(state, "state")
+    try:
+        for i in range(rounds):
+            sent = e.join(state.select(F.col("id").alias("src"), F.col("post").alias("x")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("got"))
+            state = state.join(sent, "id", "left").select("id", "prior", update(F.col("post"), F.col("prior"), F.coalesce("got", F.lit(0.0))).alias("post"))
+            if (i + 1) % cut_every == 0 or i + 1 == rounds:
+                state = cut(state, "state")
+    finally:
+        e.unpersist()
     return state
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.features.gaps import with_gaps
+from rookery.features.gaps import with_gaps, with_running_count
 from rookery.functions import text as X
 from rookery.functions.safe import count_if, nunique, sdiv
 from rookery.functions.timex import iso_weekday
@@ -126,8 +126,7 @@ def gap_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(V.with_views("c", "SELECT id, count(parent_hash) OVER (PARTITION BY fid ORDER BY timestamp NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS replies_so_far FROM c"))
 def running_count(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("fid").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return V.casts(spark, d, ["fid", "timestamp", "parent_hash"]).select("id", F.count("parent_hash").over(w).alias("replies_so_far"))
+    return with_running_count(V.casts(spark, d, ["fid", "timestamp", "parent_hash"]), "fid", "timestamp", "id", "parent_hash", "replies_so_far").select("id", "replies_so_far")
 
 
 @R.add("SELECT event_id, count(*) OVER (PARTITION BY event_type) AS same_type, round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
