@@ -35,6 +35,8 @@ SENTENCE = regex.compile(r"(?<=[.!?。！？])\s*")
 TOKEN = regex.compile(r"[\p{Han}\p{Katakana}ー]+|\p{Hiragana}+|[[\p{L}\p{M}']--[\p{Han}\p{Katakana}\p{Hiragana}]]+", regex.V1)
 ADDRESS = regex.compile(r"https?://([^\s/]+)|@([\p{L}\p{N}_.]+)|/~?/?channel/([\p{L}\p{N}_-]+)")
 
+#: Sentences of a language's average that each subject is taken to have shown beforehand.
+SMOOTHING = 0.2
 #: levels of the votes; 0 abstains
 SHARE_LEVELS = np.array([1e-9, 0.1, 0.145, 0.2, 0.3])
 #: functions that read the document come first, those that read labels last
@@ -139,7 +141,7 @@ def fit(texts: list[str | None], langs: list[str | None], sources: list[str | No
     """Learn the model from labelled documents; ``labels`` has the subjects by label source for each.
 
     Subjects a curator named, or else the crowd, are what a document's sentences may be about; others stay
-    possible with a small weight, as labels may be wrong or incomplete.
+    possible with a small weight, as labels may be wrong or incomplete, more so those of the crowd.
     """
     n, ns = len(texts), len(subjects)
     s = sentences(texts)
@@ -161,20 +163,22 @@ def fit(texts: list[str | None], langs: list[str | None], sources: list[str | No
     lp = np.log(np.array([(lang_no == k).sum() + 1.0 for k in range(len(known))]))
     m = Model(subjects, known, vocabulary, lw, lp - lp.max(), [], [], {}, {})
     lang = languages_of(m, s, idx, n) if n else np.zeros(0, int)
-    allow = np.full((n, ns + 1), 0.02)
+    allow = np.full((n, ns + 1), 1e-4)
+    clear = np.zeros(n, bool)
     allow[:, ns] = 1
     truth = np.zeros((n, ns), bool)
     for d, by in enumerate(labels):
         sure = "curator" in by
         if not sure:
-            allow[d, :ns] = 0.08
+            allow[d, :ns] = 1e-3
         for x in by["curator"] if sure else by.get("crowd", ()):
             if x in subjects:
                 allow[d, subjects.index(x)] = 1
                 truth[d, subjects.index(x)] = True
+        clear[d] = sure and truth[d].sum() <= 1
     for k in range(len(known)):
         mine = np.flatnonzero(lang[s.doc] == k)
-        w, p = _fit_language(mine, s, idx, allow, nv, rounds)
+        w, p = _fit_language(mine, s, idx, allow, clear, nv, rounds)
         m.weights.append(w)
         m.priors.append(p)
     # addresses and sources: smoothed log odds against the corpus rate
@@ -197,7 +201,7 @@ def fit(texts: list[str | None], langs: list[str | None], sources: list[str | No
     return m
 
 
-def _fit_language(mine: np.ndarray, s: Sentences, idx: np.ndarray, allow: np.ndarray, nv: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit_language(mine: np.ndarray, s: Sentences, idx: np.ndarray, allow: np.ndarray, clear: np.ndarray, nv: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     ns1 = allow.shape[1]
     if len(mine) == 0 or nv == 0:
         return np.zeros((nv, ns1), np.float32), np.append(np.full(ns1 - 1, -20.0), 0.0)
@@ -208,12 +212,15 @@ def _fit_language(mine: np.ndarray, s: Sentences, idx: np.ndarray, allow: np.nda
     a = allow[s.doc[mine]]
     p = a / a.sum(1, keepdims=True)
     background = np.bincount(col, minlength=nv) / len(mine)
-    for _ in range(rounds):
-        total = p.sum(0)
+    # documents a curator gave one subject or none speak first: with several, subjects could trade places
+    first = clear[s.doc[mine]]
+    for i in range(rounds):
+        q = p * first[:, None] if i < rounds // 2 and first.any() else p
+        total = q.sum(0)
         w = np.empty((nv, ns1))
         for k in range(ns1):
-            w[:, k] = np.bincount(col, weights=p[row, k], minlength=nv)
-        w = np.log((w + 2 * background[:, None] + 1e-9) / (total + 2))
+            w[:, k] = np.bincount(col, weights=q[row, k], minlength=nv)
+        w = np.log((w + SMOOTHING * background[:, None] + 1e-9) / (total + SMOOTHING))
         prior = np.log((total + 1) / (total.sum() + ns1))
         p = _softmax(_sum_rows(row, w, col, len(mine)) + prior + np.log(a))
     return w.astype(np.float32), prior
