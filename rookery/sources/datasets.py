@@ -21,7 +21,7 @@ class DatasetCatalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def path(self, name: str, source: str = "farcaster") -> str:
+    def path(self, name: str, source: str = "export") -> str:
         """The delivery with the greatest end number (compared as a number, not as text)."""
         pattern = re.compile(rf"{re.escape(source)}-{re.escape(name)}-0-(\d+)\.parquet")
         found = [(int(m[1]), f) for f in self._list() if (m := pattern.fullmatch(f))]
@@ -37,7 +37,7 @@ class DatasetCatalog:
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [x.getPath().getName() for x in fs.listStatus(p)]
 
-    def load(self, name: str, source: str = "farcaster", columns: Sequence[str] | None = None, fids: DataFrame | Iterable[int] | None = None, key: str = "fid") -> DataFrame:
+    def load(self, name: str, source: str = "export", columns: Sequence[str] | None = None, fids: DataFrame | Iterable[int] | None = None, key: str = "fid") -> DataFrame:
         """Lazy scan; ``columns`` (None: all) always include the key, ``fids`` restricts it. Null keys are dropped then.
 
         A short list of keys is pushed into the scan, a long one or a DataFrame becomes a semi join whose
@@ -56,7 +56,7 @@ class DatasetCatalog:
             fids = self.spark.createDataFrame([(k,) for k in keys], f"`{key}` bigint")
         return df.join(fids.select(key).distinct(), key, "left_semi")
 
-    def columns(self, name: str, source: str = "farcaster") -> list[str]:
+    def columns(self, name: str, source: str = "export") -> list[str]:
         """Column names from the file's footer."""
         return self.spark.read.parquet(self.path(name, source)).columns
 

@@ -194,8 +194,8 @@ def test_ensemble_learns_and_survives_saving(spark, tmp_path):
 def test_sources(spark, tmp_path):
     d = str(tmp_path)
     old, new = [(1, "old")], [(1, "new"), (2, "b"), (None, "c")]
-    spark.createDataFrame(old, "fid bigint, v string").write.parquet(f"{d}/farcaster-casts-0-999.parquet")
-    spark.createDataFrame(new, "fid bigint, v string").write.parquet(f"{d}/farcaster-casts-0-1000.parquet")
+    spark.createDataFrame(old, "fid bigint, v string").write.parquet(f"{d}/export-casts-0-999.parquet")
+    spark.createDataFrame(new, "fid bigint, v string").write.parquet(f"{d}/export-casts-0-1000.parquet")
     c = D.DatasetCatalog(spark, d)
     assert c.load("casts").count() == 3 and c.columns("casts") == ["fid", "v"]
     assert [tuple(r) for r in c.load("casts", columns=["v"], fids=[1]).collect()] == [(1, "new")]
