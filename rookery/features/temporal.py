@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.features.common import array_distinct_count, array_entropy, array_std, finish, histogram_of
-from rookery.features.gaps import nearest_quantiles, with_gaps
+from rookery.features.gaps import nearest_quantiles, with_gaps, with_running_count
 from rookery.functions.safe import count_if, sdiv
 from rookery.functions.timex import iso_weekday
 
@@ -76,17 +76,22 @@ def channels(casts: DataFrame) -> DataFrame:
     return finish(a.select("fid", "unique_channels", sdiv("unique_channels", "c").alias("cross_channel_activity"), sdiv("c", "n").alias("multi_channel_ratio")))
 
 
-def trends(casts: DataFrame, width: int = 24) -> DataFrame:
+def trends(casts: DataFrame, width: int = 24, block: int = 20_000) -> DataFrame:
     """How steady the gaps are: mean rolling deviation, and deviation of the rolling mean's steps.
 
-    The rolling frame and the step share one sort by account; frames hold ``width`` rows, and partitions
-    stream from the sorted shuffle.
+    Rows are numbered per account by calendar chunk, then cut into blocks of that numbering; each block is led
+    by a copy of the ``width`` rows before it, which fill its first frames and are dropped. An account with any
+    number of posts is so spread over blocks.
     """
-    g = with_gaps(casts, "fid", "timestamp", "id")
-    w = Window.partitionBy("fid").orderBy("timestamp", "id")
+    g = with_running_count(with_gaps(casts, "fid", "timestamp", "id"), "fid", "timestamp", "id", "timestamp", "i")
+    at = F.col("i") - 1
+    own = F.floor(at / block)
+    lead = F.when(at % block >= block - width, own + 1)
+    x = g.select("fid", "i", "gap_h", own.alias("own"), F.explode(F.array_compact(F.array(own, lead))).alias("b"))
+    w = Window.partitionBy("fid", "b").orderBy("i")
     roll = w.rowsBetween(-(width - 1), 0)
-    x = g.withColumn("sd", F.stddev_samp("gap_h").over(roll)).withColumn("mean", F.avg("gap_h").over(roll))
-    x = x.withColumn("step", F.col("mean") - F.lag("mean").over(w))
+    x = x.withColumn("sd", F.stddev_samp("gap_h").over(roll)).withColumn("mean", F.avg("gap_h").over(roll))
+    x = x.withColumn("step", F.col("mean") - F.lag("mean").over(w)).where("b = own")
     return finish(x.groupBy("fid").agg(F.avg("sd").alias("trend_stability"), F.stddev_samp("step").alias("adaptation_rate")))
 
 

@@ -23,19 +23,27 @@ def priors(vertices: DataFrame, labels: DataFrame, benign: float, sybil: float,
     return vertices.select("id").distinct().join(l, "id", "left").select("id", prior.alias("prior"))
 
 
-def propagate(vertices: DataFrame, edges: DataFrame, update: Callable[[Column, Column, Column], Column], rounds: int, cut_every: int = 2) -> DataFrame:
+def propagate(vertices: DataFrame, edges: DataFrame, update: Callable[[Column, Column, Column], Column], rounds: int, cut_every: int = 2, hub_degree: int = 1_000_000) -> DataFrame:
     """Vertices (id, prior, post) after ``rounds`` of post = update(post, prior, sum of weighted neighbours' posts).
 
-    ``edges`` is (src, dst, weight); dst receives weight * post(src). A vertex without edges receives 0.
+    ``edges`` is (src, dst, weight); dst receives weight * post(src). A vertex without edges receives 0. The
+    edges of a vertex with more than ``hub_degree`` are laid out in slices of about that size, each of which
+    meets a copy of the vertex's state; there are at most edges / hub_degree such vertices.
     """
     if rounds <= 0:
         return vertices
+    stored = cut(edges.select("src", "dst", "weight"), "edges")
+    hubs = stored.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_degree)
+    hubs = cut(hubs.select(F.col("src").alias("hub"), F.ceil(F.col("n") / hub_degree).cast("int").alias("slices")), "hubs")
+    slice_ = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int")
     # edges stay where their sender is: every round shuffles vertex states and partial sums only
-    e = cut(edges.select("src", "dst", "weight"), "edges").repartition("src").persist()
+    e = stored.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left").select("src", slice_.alias("slice"), "dst", "weight").repartition("src", "slice").persist()
     state = vertices
     try:
         for i in range(rounds):
-            sent = e.join(state.select(F.col("id").alias("src"), F.col("post").alias("x")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("got"))
+            copies = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+            sender = state.join(F.broadcast(hubs), F.col("id") == F.col("hub"), "left").select(F.col("id").alias("src"), F.col("post").alias("x"), F.explode(copies).alias("slice"))
+            sent = e.join(sender, ["src", "slice"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("got"))
             state = state.join(sent, "id", "left").select("id", "prior", update(F.col("post"), F.col("prior"), F.coalesce("got", F.lit(0.0))).alias("post"))
             if (i + 1) % cut_every == 0 or i + 1 == rounds:
                 state = cut(state, "state")

@@ -96,7 +96,10 @@ def label_samples(df: DataFrame, key: str, columns: Sequence[str], segment: str,
     """Rows to label: per segment up to ``n``, at most a share of them the most anomalous, the rest pseudo-random."""
     a = anomaly_scores(df, columns)
     k = int(n * anomalous)
+    # both ranks are cut off by a filter, which Spark applies inside the map tasks: no segment is gathered
     by_score = Window.partitionBy(segment).orderBy(F.desc("anomaly"), key)
-    x = a.withColumn("r1", F.row_number().over(by_score)).withColumn("is_anomaly", F.col("r1") <= k)
-    rest = Window.partitionBy(segment, "is_anomaly").orderBy(split_key(key), key)
-    return x.withColumn("r2", F.row_number().over(rest)).where(F.col("is_anomaly") | (F.col("r2") <= n - k)).drop("r1", "r2")
+    top = a.withColumn("r__", F.row_number().over(by_score)).where(F.col("r__") <= k).drop("r__")
+    rest = a.join(top.select(key), key, "left_anti")
+    drawn = Window.partitionBy(segment).orderBy(split_key(key), key)
+    others = rest.withColumn("r__", F.row_number().over(drawn)).where(F.col("r__") <= n - k).drop("r__")
+    return top.withColumn("is_anomaly", F.lit(True)).unionByName(others.withColumn("is_anomaly", F.lit(False)))

@@ -55,6 +55,16 @@ def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
 
 
+def with_totals(df: DataFrame, key: str, **aggs: Column) -> DataFrame:
+    """``df`` with aggregates of its key's rows; null keys form one group.
+
+    Aggregated with partial combining and joined back, so that few keys with many rows each cost no task more
+    than another, unlike a window over the key.
+    """
+    t = df.groupBy(F.col(key).alias("t__")).agg(*[c.alias(n) for n, c in aggs.items()])
+    return df.join(t, F.col(key).eqNullSafe(F.col("t__")), "left").drop("t__")
+
+
 def page(df: DataFrame, order: Sequence[str], offset: int, length: int) -> DataFrame:
     """Rows offset .. offset + length - 1 in a total order."""
     return df.orderBy(*order).offset(offset).limit(length)

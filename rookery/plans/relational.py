@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.features.gaps import with_gaps, with_running_count
@@ -131,8 +131,9 @@ def running_count(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("SELECT event_id, count(*) OVER (PARTITION BY event_type) AS same_type, round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
 def partition_count(spark: SparkSession, d: str) -> DataFrame:
-    share = F.col("value") / F.sum("value").over(Window.partitionBy("user_id"))
-    return table(spark, d, "events").select("event_id", F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("same_type"), F.round(share, 6).alias("share"))
+    e = table(spark, d, "events", ["event_id", "event_type", "user_id", "value"])
+    x = O.with_totals(O.with_totals(e, "event_type", same_type=F.count(F.lit(1))), "user_id", total=F.sum("value"))
+    return x.select("event_id", "same_type", F.round(F.col("value") / F.col("total"), 6).alias("share"))
 
 
 @R.add("SELECT fid, export_ts, created_at, follower_count, following_count FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY created_at DESC NULLS LAST, export_ts DESC, follower_count DESC NULLS LAST, following_count DESC NULLS LAST) AS r FROM follow_counts WHERE fid IS NOT NULL) WHERE r = 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rookery.features.gaps import nearest_quantiles, with_gaps
+from rookery.features.temporal import trends
 from rookery.features.registry import FeatureContext, FeatureManager, FeatureRegistry, FeatureSet
 from rookery.functions import safe
 from rookery.functions import text as X
@@ -103,6 +104,22 @@ def test_scar_equals_dense(spark):
     assert max(abs(got[v] - post[ix[v]] - 0.5) for v in nodes) < 1e-9
 
 
+def test_hubs_in_slices_change_nothing(spark):
+    e, _ = _frames(spark, [(0, i) for i in range(1, 30)], {})
+    v = e.select(F.col("src").alias("id")).distinct().withColumn("prior", F.lit(0.01)).withColumn("post", F.col("id") / 100)
+    run = lambda hub: {r["id"]: r["post"] for r in P.propagate(v, e.withColumn("weight", F.lit(0.1)), lambda p, q, g: p + q + g, 3, hub_degree=hub).collect()}
+    a, b = run(1_000_000), run(4)
+    assert len(a) == 30 and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_blocks_change_no_trend(spark):
+    rng = random.Random(9)
+    rows = [(k, i, 1_700_000_000 + i * 3600 + rng.randrange(90_000)) for k in (1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "fid int, id int, s bigint").selectExpr("fid", "id", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS timestamp")
+    one, many = (sorted(tuple(r) for r in trends(df, block=b).collect()) for b in (20_000, 30))
+    assert one == many and len(one) == 2
+
+
 def test_rank_equals_dense(spark):
     pairs, labels = _graph(2)
     nodes = sorted({x for p in pairs for x in p})
