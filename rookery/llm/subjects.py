@@ -314,7 +314,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int)
     """Rows (text, lang, source, labels) of at most ``max_labelled`` labelled documents, the first by a hash of the id."""
     per = labels.groupBy("doc_id").agg(F.collect_set(F.struct("label_source", "subject")).alias("labels"))
     per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return documents.select("doc_id", "text", "lang", "source").join(per, "doc_id").orderBy("doc_id").collect()
+    # at most ``max_labelled`` rows: the texts of all other documents stay where they are
+    return documents.select("doc_id", "text", "lang", "source").join(F.broadcast(per), "doc_id").orderBy("doc_id").collect()
 
 
 def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000) -> DataFrame:
