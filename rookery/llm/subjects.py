@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.session import cut
@@ -310,26 +310,33 @@ def latent(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.nda
     return post
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int) -> list:
-    """Rows (text, lang, source, labels) of at most ``max_labelled`` labelled documents, the first by a hash of the id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> list:
+    """Rows (text, lang, source, labels) of labelled documents, the first by a hash of the id.
+
+    At most ``max_labelled`` documents and ``max_chars`` characters in all; a document with more than a
+    hundredth of those is passed over. Whole texts only.
+    """
     per = labels.groupBy("doc_id").agg(F.collect_set(F.struct("label_source", "subject")).alias("labels"))
-    per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    # at most ``max_labelled`` rows: the texts of all other documents stay where they are
-    return documents.select("doc_id", "text", "lang", "source").join(F.broadcast(per), "doc_id").orderBy("doc_id").collect()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    per = per.orderBy(*order).limit(max_labelled)
+    # at most ``max_labelled`` rows are broadcast: the texts of all other documents stay where they are
+    sizes = documents.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).where(F.col("n") <= max_chars // 100).join(F.broadcast(per), "doc_id")
+    chosen = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(*order))).where(F.col("upto") <= max_chars).select("doc_id", "labels").dropDuplicates(["doc_id"])
+    return documents.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
 
 
-def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, max_chars: int = 30_000_000) -> DataFrame:
     """(doc_id, subject, posterior) for every document and subject of which the document shows any sign.
 
     Pairs without any sign have a posterior near 0 and no row, as have null, empty and blank texts. Labels
     with subjects that are not in ``areas`` are ignored; a null subject is the label "none". Repeated labels
     count once; a document delivered several times is scored several times and comes out once. Without
-    labels nothing can be learned and nothing comes out. ``max_labelled`` bounds the sample the lexicon is
-    fitted on; votes, accuracies and posteriors cover all documents.
+    labels nothing can be learned and nothing comes out. ``max_labelled`` and ``max_chars`` bound the sample the
+    lexicon is fitted on; votes, accuracies and posteriors cover all documents.
     """
     spark = documents.sparkSession
     subjects = sorted(r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().collect())
-    rows = labelled_sample(documents, labels, max_labelled)
+    rows = labelled_sample(documents, labels, max_labelled, max_chars)
     marks: list[dict[str, set[str]]] = []
     for r in rows:
         by: dict[str, set[str]] = {}
