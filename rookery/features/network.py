@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.features.common import finish
 from rookery.features.gaps import with_gaps
-from rookery.functions.safe import clip, count_if, sdiv
+from rookery.functions.safe import clip, count_if, scalars, sdiv
 
 
 def degrees(edges: DataFrame, src: str = "fid", dst: str = "target_fid") -> DataFrame:
@@ -27,13 +27,13 @@ def degrees(edges: DataFrame, src: str = "fid", dst: str = "target_fid") -> Data
 def centrality(edges: DataFrame) -> DataFrame:
     """Degree-based centrality, bridging and clustering of every account on either end of an edge."""
     d = degrees(edges)
-    top = d.agg((F.max("out_degree") + F.max("in_degree")).alias("top"))
+    top = scalars(d.agg((F.max("out_degree") + F.max("in_degree")).alias("top")))("top")
     o, i, uo, ui = (F.col(c) for c in ("out_degree", "in_degree", "unique_out_degree", "unique_in_degree"))
     both = (uo * ui).cast("double")
-    x = d.crossJoin(F.broadcast(top)).withColumns(  # one row
-        {"centrality_score": sdiv(o + i, "top"), "bridge_score": sdiv(both, o + i + 1), "clustering_coefficient": sdiv(both, (o + 1).cast("double") * (i + 1))}
+    x = d.withColumns(
+        {"centrality_score": sdiv(o + i, top), "bridge_score": sdiv(both, o + i + 1), "clustering_coefficient": sdiv(both, (o + 1).cast("double") * (i + 1))}
     )
-    return finish(x.drop("top"))
+    return finish(x)
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:
@@ -131,8 +131,7 @@ def counters(history: DataFrame) -> DataFrame:
 def ratios(d: DataFrame, cap: float = 0.99) -> DataFrame:
     """Log and capped follower ratios from :func:`degrees`; the cap is a percentile over all accounts."""
     x = d.select("fid", sdiv("in_degree", F.col("out_degree") + 1).alias("follower_ratio"), sdiv("unique_in_degree", F.col("unique_out_degree") + 1).alias("unique_follower_ratio"), "in_degree", "out_degree")
-    caps = x.agg(F.percentile("follower_ratio", F.lit(cap)).alias("c1"), F.percentile("unique_follower_ratio", F.lit(cap)).alias("c2"))
-    x = x.crossJoin(F.broadcast(caps))  # one row
+    caps = scalars(x.agg(F.percentile("follower_ratio", F.lit(cap)).alias("c1"), F.percentile("unique_follower_ratio", F.lit(cap)).alias("c2")))
     i, o = F.col("in_degree"), F.col("out_degree")
     return finish(
         x.select(
@@ -140,8 +139,8 @@ def ratios(d: DataFrame, cap: float = 0.99) -> DataFrame:
             "follower_ratio",
             F.log1p("follower_ratio").alias("follower_ratio_log"),
             F.log1p("unique_follower_ratio").alias("unique_follower_ratio_log"),
-            F.greatest(F.least("follower_ratio", "c1"), F.lit(0.0)).alias("follower_ratio_capped"),
-            F.greatest(F.least("unique_follower_ratio", "c2"), F.lit(0.0)).alias("unique_follower_ratio_capped"),
+            F.greatest(F.least("follower_ratio", caps("c1")), F.lit(0.0)).alias("follower_ratio_capped"),
+            F.greatest(F.least("unique_follower_ratio", caps("c2")), F.lit(0.0)).alias("unique_follower_ratio_capped"),
             (i > o).cast("int").alias("has_more_followers"),
             (1 - sdiv(F.abs(o - i), o + i + 1)).alias("follow_balance_ratio"),
             (1 - sdiv(F.abs(o - i), o + i + 1)).alias("follower_authenticity_score"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,9 @@ def any_of(preds: Sequence[Column]) -> Column:
 def is_infinite(x: Column | str) -> Column:
     """True for inf and -inf; false for null and NaN."""
     return F.coalesce(F.abs(_c(x).cast("double")) == F.lit(float("inf")), F.lit(False))
+
+
+def scalars(one_row: DataFrame) -> Callable[[str], Column]:
+    """The columns of a one-row result as expressions for other queries: a scalar subquery, not a join."""
+    row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("r")).scalar()
+    return lambda name: row.getField(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.functions.safe import count_if, sdiv
+from rookery.functions.safe import count_if, scalars, sdiv
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -18,8 +18,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     bins = 1024
     y = F.col(label).cast("int")
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    edge = c.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    c = c.crossJoin(F.broadcast(edge)).withColumn("b", F.least(F.floor(F.coalesce(sdiv(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)))
+    edge = scalars(c.agg(F.min("s").alias("lo"), F.max("s").alias("hi")))
+    c = c.withColumn("b", F.least(F.floor(F.coalesce(sdiv(F.col("s") - edge("lo"), edge("hi") - edge("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)))
     below = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("within", F.coalesce(F.sum("q").over(below), F.lit(0)))
     per = c.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"), F.sum(F.col("p") * (F.col("within") + F.col("q") / 2.0)).alias("won"))

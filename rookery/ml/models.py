@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.functions.safe import scalars
 from rookery.ml.prepare import folds
 from rookery.ml.scoring import soft_vote
 
@@ -49,10 +50,9 @@ def with_weights(df: DataFrame, config: ModelConfig) -> DataFrame:
     """``df`` with weight: classes count the same in total. One aggregate of two counts."""
     if not config.weighted:
         return df.withColumn("weight", F.lit(1.0))
-    n = df.agg(F.count(F.lit(1)).alias("n__"), F.sum(F.col(config.label).cast("double")).alias("p__"))
-    x = df.crossJoin(F.broadcast(n))  # one row
-    share = F.when(F.col(config.label).cast("int") == 1, F.col("p__")).otherwise(F.col("n__") - F.col("p__"))
-    return x.withColumn("weight", F.col("n__") / (2.0 * F.greatest(share, F.lit(1.0)))).drop("n__", "p__")
+    v = scalars(df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(config.label).cast("double")).alias("p")))
+    share = F.when(F.col(config.label).cast("int") == 1, v("p")).otherwise(v("n") - v("p"))
+    return df.withColumn("weight", v("n") / (2.0 * F.greatest(share, F.lit(1.0))))
 
 
 def pipeline(name: str, columns: Sequence[str], config: ModelConfig, **params: object) -> Pipeline:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.functions.safe import clip, is_infinite
+from rookery.functions.safe import clip, is_infinite, scalars
 from rookery.sources.datasets import numeric_columns
 
 
@@ -17,8 +17,8 @@ def clean_matrix(df: DataFrame, columns: Sequence[str], bound: float = 1e9) -> D
     All medians come from one aggregate; a column without values becomes 0.
     """
     x = df.withColumns({c: F.when(~is_infinite(c) & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
-    m = x.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in columns])
-    return x.crossJoin(F.broadcast(m)).select(*[f for f in df.columns if f not in columns], *[clip(F.coalesce(F.col(c), F.col(f"m_{c}"), F.lit(0.0)), -bound, bound).alias(c) for c in columns])
+    m = scalars(x.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]))
+    return x.select(*[f for f in df.columns if f not in columns], *[clip(F.coalesce(F.col(c), m(c), F.lit(0.0)), -bound, bound).alias(c) for c in columns])
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99, sigmas: float = 3.0) -> DataFrame:
@@ -26,10 +26,10 @@ def winsorize(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float
     s = []
     for c in columns:
         s += [F.percentile(c, F.lit(lo)).alias(f"lo_{c}"), F.percentile(c, F.lit(hi)).alias(f"hi_{c}"), F.avg(c).alias(f"mu_{c}"), F.stddev_samp(c).alias(f"sd_{c}")]
-    x = df.crossJoin(F.broadcast(df.agg(*s)))
-    low = lambda c: F.greatest(F.col(f"lo_{c}"), F.col(f"mu_{c}") - sigmas * F.col(f"sd_{c}"))
-    high = lambda c: F.least(F.col(f"hi_{c}"), F.col(f"mu_{c}") + sigmas * F.col(f"sd_{c}"))
-    return x.select(*[f for f in df.columns if f not in columns], *[F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), high(c)), low(c))).alias(c) for c in columns])
+    v = scalars(df.agg(*s))
+    low = lambda c: F.greatest(v(f"lo_{c}"), v(f"mu_{c}") - sigmas * v(f"sd_{c}"))
+    high = lambda c: F.least(v(f"hi_{c}"), v(f"mu_{c}") + sigmas * v(f"sd_{c}"))
+    return df.select(*[f for f in df.columns if f not in columns], *[F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), high(c)), low(c))).alias(c) for c in columns])
 
 
 def bad_rows(df: DataFrame, key: str) -> DataFrame:
@@ -82,14 +82,12 @@ def anomaly_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Stands in for an isolation forest: one aggregate for medians, one for deviations, then arithmetic.
     """
-    m = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in columns])
-    x = df.crossJoin(F.broadcast(m))
-    d = x.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"m_{c}")), F.lit(0.5)).alias(f"d_{c}") for c in columns])
-    x = x.crossJoin(F.broadcast(d))
+    m = scalars(df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]))
+    d = scalars(df.agg(*[F.percentile(F.abs(F.col(c) - m(c)), F.lit(0.5)).alias(c) for c in columns]))
     z = F.lit(0.0)
     for c in columns:
-        z = z + F.coalesce(F.abs(F.col(c) - F.col(f"m_{c}")) / (1.4826 * F.col(f"d_{c}") + 1e-9), F.lit(0.0))
-    return x.withColumn("anomaly", z / len(columns)).drop(*[f"{p}_{c}" for p in ("m", "d") for c in columns])
+        z = z + F.coalesce(F.abs(F.col(c) - m(c)) / (1.4826 * d(c) + 1e-9), F.lit(0.0))
+    return df.withColumn("anomaly", z / len(columns))
 
 
 def label_samples(df: DataFrame, key: str, columns: Sequence[str], segment: str, n: int, anomalous: float = 0.25) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.functions.safe import clip, count_if, sdiv
+from rookery.functions.safe import clip, count_if, scalars, sdiv
 
 
 def mean_of(cols: Sequence[Column]) -> Column:
@@ -71,17 +71,17 @@ def segments(df: DataFrame, casts: str, replies: str, label: str) -> DataFrame:
     """(segment, n, share, bot_rate, avg_casts) over accounts that fall into a segment; shares are of all rows."""
     t = df.withColumn("segment", segment_of(F.col(casts), F.col(replies)))
     a = t.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("int")).alias("bot_rate"), F.avg(casts).alias("avg_casts"), count_if(F.col(label).isNotNull()).alias("n_labelled"))
-    total = a.agg(F.sum("n").alias("t"))
-    return a.crossJoin(F.broadcast(total)).where("segment IS NOT NULL").select("segment", "n", sdiv("n", "t").alias("share"), "bot_rate", "avg_casts", "n_labelled", sdiv("n_labelled", "n").alias("coverage"))
+    total = scalars(a.agg(F.sum("n").alias("t")))("t")
+    return a.where("segment IS NOT NULL").select("segment", "n", sdiv("n", total).alias("share"), "bot_rate", "avg_casts", "n_labelled", sdiv("n_labelled", "n").alias("coverage"))
 
 
 def priority(df: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
     """The ``k`` keys with the greatest sum of columns, each divided by its maximum; ties by key."""
-    tops = df.agg(*[F.max(F.abs(c)).alias(f"m_{c}") for c in columns])
+    tops = scalars(df.agg(*[F.max(F.abs(c)).alias(c) for c in columns]))
     total = F.lit(0.0)
     for c in columns:
-        total = total + F.coalesce(sdiv(c, f"m_{c}"), F.lit(0.0))
-    return df.crossJoin(F.broadcast(tops)).select(key, total.alias("priority")).orderBy(F.desc("priority"), key).limit(k)
+        total = total + F.coalesce(sdiv(c, tops(c)), F.lit(0.0))
+    return df.select(key, total.alias("priority")).orderBy(F.desc("priority"), key).limit(k)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.functions.safe import scalars
+
 
 def lifetime_runs(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(k, s, e): the instants at which a key exists, compressed into runs.
@@ -45,8 +47,8 @@ def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, hot_share: floa
     """
     live = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     counts = live.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all_n"))
-    hot = counts.where("n > 1000").join(F.broadcast(total), F.col("n") >= F.col("all_n") * hot_share).select(F.col("k").alias("hot_k"))
+    total = scalars(counts.agg(F.sum("n").alias("n")))("n")
+    hot = counts.where((F.col("n") > 1000) & (F.col("n") >= total * hot_share)).select(F.col("k").alias("hot_k"))
     kept = [c for c in refs.columns if c != "orphan_kind"]
     payload = F.struct(*[F.col(f"`{c}`") for c in kept])
     keyed = live.select(F.col(key).alias("k"), F.col(at).alias("t"), payload.alias("row"))

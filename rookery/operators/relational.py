@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.functions.safe import scalars
+
 
 def keep(df: DataFrame, key: str, members: DataFrame, column: str | None = None) -> DataFrame:
     """Rows whose key is among ``members``; null is a member of nothing."""
@@ -71,9 +73,8 @@ def page(df: DataFrame, order: Sequence[str], offset: int, length: int) -> DataF
 
 
 def newer_than(df: DataFrame, ts: str, months: int) -> DataFrame:
-    """Rows within so many months of the table's newest; the bound is a one-row aggregate."""
-    top = df.agg((F.max(ts) - F.make_interval(months=F.lit(months))).alias("bound__"))
-    return df.join(F.broadcast(top), F.col(ts) > F.col("bound__")).drop("bound__")
+    """Rows within so many months of the table's newest; the bound is a scalar subquery."""
+    return df.where(F.col(ts) > scalars(df.agg(F.max(ts).alias("top")))("top") - F.make_interval(months=F.lit(months)))
 
 
 def tokens_of_group(df: DataFrame, key: str, text: str, order: Sequence[str]) -> DataFrame:
