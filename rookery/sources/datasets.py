@@ -152,3 +152,47 @@ def read_marker(path: str) -> int | None:
         return None
     with open(path) as f:
         return json.load(f)["last_timestamp"]
+
+
+def spine(df: DataFrame, key: str, n: int | None = None, ensure: Iterable[int] = ()) -> DataFrame:
+    """Distinct non-null keys: all, or the ``n`` smallest, and in any case those in ``ensure``."""
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key)).distinct()
+    if n is not None:
+        keys = keys.orderBy(key).limit(n)
+    extra = [(int(k),) for k in ensure]
+    return keys.unionAll(df.sparkSession.createDataFrame(extra, f"`{key}` bigint")).distinct() if extra else keys
+
+
+def publish_jdbc(df: DataFrame, url: str, name: str, key: str, batch_rows: int = 30_000, partitions: int = 8, properties: dict[str, str] | None = None) -> None:
+    """Replace the rows of a database table whose keys occur in ``df`` by those of ``df``; create the table if missing.
+
+    Executors write a staging table in batches over at most ``partitions`` connections; the exchange of rows
+    is one transaction, so readers see the old or the new rows and a failed job leaves the table as it was.
+    """
+    spark, props = df.sparkSession, dict(properties or {})
+    staging = f"{name}_staging"
+    df.coalesce(partitions).write.option("batchsize", batch_rows).mode("overwrite").jdbc(url, staging, properties=props)
+    p = spark._jvm.java.util.Properties()
+    for k, v in props.items():
+        p.setProperty(k, v)
+    c = spark._jvm.java.sql.DriverManager.getConnection(url, p)
+    try:
+        c.setAutoCommit(False)
+        there = c.getMetaData().getTables(None, None, None, None)
+        names = set()
+        while there.next():
+            names.add(there.getString("TABLE_NAME").lower())
+        s = c.createStatement()
+        cols = ", ".join(f'"{x}"' for x in df.columns)
+        if name.lower() not in names:
+            c.commit()
+            df.limit(0).write.jdbc(url, name, properties=props)
+        s.executeUpdate(f'DELETE FROM {name} WHERE "{key}" IN (SELECT "{key}" FROM {staging})')
+        s.executeUpdate(f"INSERT INTO {name} ({cols}) SELECT {cols} FROM {staging}")
+        s.executeUpdate(f"DROP TABLE {staging}")
+        c.commit()
+    except Exception:
+        c.rollback()
+        raise
+    finally:
+        c.close()

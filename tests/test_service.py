@@ -65,3 +65,20 @@ def test_housekeeping(spark, tmp_path):
     assert service.purge(str(tmp_path / "none")) == []
     with pytest.raises(ValueError):
         service.validate(spark.range(1), ["fid"])
+
+
+def test_database_rows_are_replaced_by_key(spark):
+    from rookery.sources.datasets import publish_jdbc
+
+    url = "jdbc:derby:memory:rookery;create=true"
+    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, None)]):
+        publish_jdbc(spark.createDataFrame(rows, "fid bigint, fname string"), url, "scores", "fid", batch_rows=1)
+    assert sorted(tuple(r) for r in spark.read.jdbc(url, "scores").collect()) == [(1, "a"), (2, "c"), (3, None)]
+
+
+def test_spine(spark):
+    from rookery.sources.datasets import spine
+
+    df = spark.createDataFrame([(5,), (1,), (1,), (None,), (3,)], "fid int")
+    assert sorted(r[0] for r in spine(df, "fid").collect()) == [1, 3, 5]
+    assert sorted(r[0] for r in spine(df, "fid", 2, [9, 1]).collect()) == [1, 3, 9]
