@@ -252,16 +252,23 @@ def _small_shards(key, rep, n, small, fp, size) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _search(rows: DataFrame) -> DataFrame:
-    """(a, b): candidate pairs of every shard of ``rows``, which are sorted by shard within partitions."""
+def _search(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(a, b): candidate pairs of every shard of ``rows``, which are sorted by shard within partitions.
+
+    Shards of more than ``limit`` rows are passed over. ``rows`` must come straight from its repartitioning by
+    key: nothing between may let the planner split a partition.
+    """
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, rep, n, small, fp = cols
         new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(new, len(key)))
-        p, r = _small_shards(np.repeat(np.arange(len(new)), sizes), rep, n, small, fp, np.repeat(sizes, sizes))
+        leaves = np.where(sizes > limit, 0, sizes) if limit is not None else sizes  # of size 0: not searched
+        p, r = _small_shards(np.repeat(np.arange(len(new)), sizes), rep, n, small, fp, np.repeat(leaves, sizes))
         ps, rs = [p], [r]
         for s, k in zip(new[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+            if limit is not None and k > limit:
+                continue
             x, y = tree_pairs(rep[s : s + k], n[s : s + k], small[s : s + k], fp[s : s + k])
             ps.append(x + s)
             rs.append(y + s)
@@ -284,7 +291,9 @@ def _search(rows: DataFrame) -> DataFrame:
             end = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])  # the last shard may go on
             if end:
                 yield found([x[:end] for x in cols])
-            held, rows_held = [[x[end:] for x in cols]], len(cols[0]) - end
+            rest = slice(end, None if limit is None else end + limit + 1)  # of a shard to pass over, enough to tell
+            held = [[x[rest] for x in cols]]
+            rows_held = len(held[0][0])
         if held:
             yield found([np.concatenate(x) for x in zip(*held)])
 
@@ -333,13 +342,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
     reps = cut(words.select(F.col("id").alias("rep"), "words"), "words")
     keyed = _keyed(reps, _sketch(reps), rare).repartition("key")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHARD_ROWS)
-    whole = keyed.join(large.select("key"), "key", "left_anti").sortWithinPartitions("key")
+    whole = keyed.sortWithinPartitions("key")
     # a large shard of k blocks becomes k (k + 1) / 2 shards, one for each pair of blocks
     blocks = F.ceil(F.col("rows") / SHARD_ROWS * 2).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks)
     other = keyed.join(large, "key").withColumn("k", blocks).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     other = other.withColumn("key", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o"))).select("key", "rep", "size", "fp").repartition("key").sortWithinPartitions("key")
-    pairs = cut(_search(whole.select("key", "rep", "size", "fp")).unionAll(_search(other)).distinct(), "pairs")
+    pairs = cut(_search(whole, SHARD_ROWS).unionAll(_search(other)).distinct(), "pairs")
     links = _verified(pairs, reps)
     return links, members.select("rep", "id", "copies")
 
