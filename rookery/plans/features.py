@@ -397,5 +397,8 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return out.na.fill(0)
 
 
+_GROUPS = ["profile_completeness", "content_metrics", "mention_metrics", "temporal_timing", "burst_metrics", "reaction_patterns"]
 R.queries["feature_matrix"] = feature_matrix
+R.oracle["feature_matrix"] = V.with_views("p", "SELECT fid, coalesce(COLUMNS(* EXCLUDE (fid)), 0) FROM (SELECT DISTINCT fid FROM p) s\n"
+    + "\n".join(f"LEFT JOIN ({R.oracle[n]}) USING (fid)" for n in _GROUPS) + f"\nLEFT JOIN (SELECT * EXCLUDE (avg_follow_latency_seconds) FROM ({R.oracle['network_basic']})) USING (fid)\nLEFT JOIN (SELECT * EXCLUDE (following_count) FROM ({R.oracle['first_last_snapshot']})) USING (fid)")
 QUERIES, ORACLE = R.queries, R.oracle
