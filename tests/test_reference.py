@@ -131,7 +131,7 @@ def test_rank_equals_dense(spark):
     prior = np.array([float(v in labels and not labels[v]) for v in nodes])
     post = prior.copy()
     for _ in range(int(math.log(len(nodes)))):
-        post = 0.85 * (a / deg) @ post if False else 0.85 * a.T @ (post / deg) + 0.15 * prior
+        post = 0.85 * a.T @ (post / deg) + 0.15 * prior
     e, l = _frames(spark, pairs, labels)
     got = {r["id"]: r["rank"] for r in P.sybil_rank(e, l.where("NOT bot").select(F.col("fid").alias("id"))).collect()}
     assert max(abs(got[v] - post[ix[v]] / deg[ix[v]]) for v in nodes) < 1e-9
