@@ -97,10 +97,10 @@ def plan(counts: list[int], boundaries: list[int], capacity: int, first: int = 0
                 if full:
                     runs.append(Run(b, rank, per, full, start))
                     rank, left = rank + full * per, left - full * per
-                    opened.append((r - full_size(per, size), start, full))
+                    opened.append((r - per * size, start, full))
                 if full < k and left < per and left:
                     runs.append(Run(b, rank, left, 1, start + full))
-                    opened.append((r - full_size(left, size), start + full, 1))
+                    opened.append((r - left * size, start + full, 1))
                     rank, left, full = rank + left, 0, full + 1
                 if full < k:
                     room[r].append((start + full, k - full))
@@ -115,21 +115,17 @@ def plan(counts: list[int], boundaries: list[int], capacity: int, first: int = 0
             full = left // per
             if full:
                 runs.append(Run(b, rank, per, full, nxt))
-                opened.append((capacity - full_size(per, size), nxt, full))
+                opened.append((capacity - per * size, nxt, full))
                 rank, left, nxt = rank + full * per, left - full * per, nxt + full
             if left:
                 runs.append(Run(b, rank, left, 1, nxt))
-                opened.append((capacity - full_size(left, size), nxt, 1))
+                opened.append((capacity - left * size, nxt, 1))
                 nxt += 1
         for r, start, k in opened:
             open_(r, start, k)
     return runs, nxt
 
 
-def full_size(items: int, size: int) -> int:
-    return items * size
-
-
 def pack(sizes: DataFrame, key: str, size: str, capacity: int, buckets: int = 256, shard_rows: int = 200_000) -> DataFrame:
     """(key, piece, piece_size, container), each item whole in one container unless it alone exceeds the capacity.
 
@@ -156,10 +152,8 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, buckets: int = 25
     bounds = bucket_boundaries(histogram, buckets)
     spark = sizes.sparkSession
     shards = max(1, -(-n_rows // shard_rows))
-    cuts = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array(F.lit(capacity))
     lookup = np.searchsorted(bounds, np.arange(capacity + 1)).tolist() if bounds else [0] * (capacity + 1)
     bucket = F.get(F.array(*[F.lit(x) for x in lookup]), F.col("r"))
-    del cuts
     tagged = items.where("s > 0").withColumn("b", bucket).withColumn("h", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     per_shard = tagged.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = [0] * len(bounds)
