@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rookery.functions.safe import scalars
 
 
-def lifetime_runs(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def lifetime_runs(parents: DataFrame, key: str, start: str, end: str, chunk_us: int = 30 * 86_400_000_000) -> DataFrame:
     """(k, s, e): the instants at which a key exists, compressed into runs.
 
     The instants of a key are integers (microseconds); each row of ``parents`` covers the contiguous range
@@ -25,11 +25,19 @@ def lifetime_runs(parents: DataFrame, key: str, start: str, end: str) -> DataFra
         .groupBy("k", "s")
         .agg(F.max("e").alias("e"))
     )
-    before = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    # ranges that start in one chunk of time merge first, so that a key with very many rows is divided
+    by_chunk = _merged(rows.withColumn("c", F.expr(f"s div {chunk_us}")), ["k", "c"])
+    runs = _merged(by_chunk.select("k", "s", "e"), ["k"])
+    return runs.select("k", "s", F.when(F.col("e") < far, F.col("e")).alias("e"))
+
+
+def _merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Disjoint ranges (keys, s, e) from ranges that may overlap or touch."""
+    order = Window.partitionBy(*keys).orderBy("s")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when(F.coalesce(F.col("s") > F.max("e").over(before), F.lit(True)), 1).otherwise(0)
-    runs = rows.withColumn("o", opens).withColumn("run", F.sum("o").over(upto))
-    return runs.groupBy("k", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("k", "s", F.when(F.col("e") < far, F.col("e")).alias("e"))
+    x = ranges.withColumn("o", opens).withColumn("run", F.sum("o").over(upto))
+    return x.groupBy(*keys, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
 def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, hot_share: float = 0.002, salts: int = 64) -> DataFrame:

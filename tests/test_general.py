@@ -180,6 +180,7 @@ def test_orphan_kinds(spark):
     p = [(1, 10, 20), (1, 15, 30), (1, 40, None), (2, 5, 5), (None, 1, 2), (3, None, 9), (1, 10, 12)]
     runs = lifetime_runs(spark.createDataFrame(p, "k bigint, s bigint, e bigint"), "k", "s", "e")
     assert rows(runs) == [(1, 10, 30), (1, 40, None)]
+    assert rows(lifetime_runs(spark.createDataFrame(p, "k bigint, s bigint, e bigint"), "k", "s", "e", chunk_us=4)) == [(1, 10, 30), (1, 40, None)]
     refs = spark.createDataFrame([(1, 9), (1, 10), (1, 29), (1, 30), (1, 40), (2, 6), (3, 1), (None, 4), (1, None), (1, 9)], "fid bigint, t bigint")
     refs = refs.withColumns({"k": F.lit("x"), "side": F.lit(5), "e": F.lit(1), "salt": F.lit(1), "orphan_kind": F.lit("?"), "m": F.create_map(F.lit(1), F.lit(2))})
     got = sorted((r["fid"], r["t"], r["orphan_kind"], r["k"]) for r in orphans(refs, runs, "fid", "t").collect())
