@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 
 def finish(df: DataFrame, key: str = "fid", digits: int | None = 6) -> DataFrame:
-    """Key as bigint, null features 0, fractions rounded; one row per key is the caller's grouping."""
+    """Key as bigint, null features 0, fractions rounded; one row per key is the caller's grouping.
+
+    Fractions are rounded to ten digits first, so that the order of a sum cannot decide a half.
+    """
     out = [F.col(key).cast("bigint").alias(key)]
     for f in df.schema.fields:
         if f.name == key:
@@ -18,7 +21,7 @@ def finish(df: DataFrame, key: str = "fid", digits: int | None = 6) -> DataFrame
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = c.cast("double")
-            c = F.coalesce(F.round(c, digits) if digits is not None else c, F.lit(0.0))
+            c = F.coalesce(F.round(F.round(c, 10), digits) if digits is not None else c, F.lit(0.0))
         elif isinstance(f.dataType, T.NumericType):
             c = F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
         out.append(c.alias(f.name))

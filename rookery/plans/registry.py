@@ -33,7 +33,7 @@ def rounded(**cols: str) -> str:
 
     The SQL engine rounds some exact halves down; a nudge far below the last digit makes it agree.
     """
-    return ", ".join(f"coalesce(round(CAST(({e}) AS DOUBLE) + sign(CAST(({e}) AS DOUBLE)) * 1e-12, 6), 0.0) AS {n}" for n, e in cols.items())
+    return ", ".join(f"coalesce(round(round(CAST(({e}) AS DOUBLE), 10) + sign(CAST(({e}) AS DOUBLE)) * 1e-12, 6), 0.0) AS {n}" for n, e in cols.items())
 
 
 def whole(**cols: str) -> str:
