@@ -30,11 +30,11 @@ def get_session(app: str = "rookery", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session.
+    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
 
     Only where the cluster names none (tests in local mode) a local folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
