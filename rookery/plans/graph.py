@@ -95,7 +95,7 @@ def _walk(n: int) -> str:
 @R.add(V.with_views("f lb", "SELECT id, round(post / degree, 6) AS rank FROM w5", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _walk(5)))
 def sybilrank(spark: SparkSession, d: str) -> DataFrame:
     seeds = V.labels(spark, d).where("NOT bot").select(F.col("fid").alias("id"))
-    return P.sybil_rank(_sym(spark, d), seeds, rounds=5).select("id", F.round("rank", 6).alias("rank"))
+    return P.sybil_rank(_sym(spark, d), seeds).select("id", F.round("rank", 6).alias("rank"))
 
 
 def _messages(n: int) -> str:
@@ -109,7 +109,7 @@ def _messages(n: int) -> str:
 
 @R.add(V.with_views("f lb", "SELECT v.id, round(1 / (1 + exp(-(ln(v.prior) - ln(1 - v.prior) + b.o))), 6) AS posterior FROM v JOIN (SELECT dst AS id, sum(ln(m)) - sum(ln(1 - m)) AS o FROM m3 GROUP BY 1) b USING (id)", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _messages(3)))
 def sybilbelief(spark: SparkSession, d: str) -> DataFrame:
-    s = P.sybil_belief(_sym(spark, d), V.labels(spark, d), rounds=3)
+    s = P.sybil_belief(_sym(spark, d), V.labels(spark, d))
     return s.select("id", F.round("posterior", 6).alias("posterior"))
 
 
