@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.features import content, identity, network, reputation, temporal
 from rookery.features.common import left_joined
+from rookery.features.registry import FeatureContext, FeatureManager, FeatureRegistry, FeatureSet
 from rookery.functions.text import address_list
 from rookery.ml.labels import target_of
 from rookery.plans.registry import Registry, rounded, whole
@@ -380,7 +381,7 @@ def target_of_cast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All groups on the spine of profiled accounts, missing features 0."""
+    """Eight groups on the spine of profiled accounts, missing features 0; :func:`feature_matrix_all` has all."""
     c = V.casts(spark, d)
     groups = [
         identity.profile(V.profiles(spark, d)),
@@ -401,4 +402,29 @@ _GROUPS = ["profile_completeness", "content_metrics", "mention_metrics", "tempor
 R.queries["feature_matrix"] = feature_matrix
 R.oracle["feature_matrix"] = V.with_views("p", "SELECT fid, coalesce(COLUMNS(* EXCLUDE (fid)), 0) FROM (SELECT DISTINCT fid FROM p) s\n"
     + "\n".join(f"LEFT JOIN ({R.oracle[n]}) USING (fid)" for n in _GROUPS) + f"\nLEFT JOIN (SELECT * EXCLUDE (avg_follow_latency_seconds) FROM ({R.oracle['network_basic']})) USING (fid)\nLEFT JOIN (SELECT * EXCLUDE (following_count) FROM ({R.oracle['first_last_snapshot']})) USING (fid)")
+
+#: every implemented group with numbers by account; what else is registered are names, texts and matrices
+_ALL = [n for n in R.queries if n not in ("latest_names", "target_of_cast", "feature_matrix")]
+#: columns whose name an earlier group has; they get the group's name in front
+_CLASH = {"network_basic": ["follow_velocity", "avg_follow_latency_seconds"], "first_last_snapshot": ["following_count"], "cast_style": ["link_usage_rate"], "engagement_metrics": ["influence_score"]}
+
+
+def feature_sets(spark: SparkSession, d: str) -> FeatureRegistry:
+    """A registry of every implemented group over the tables of a folder."""
+    r = FeatureRegistry()
+    for n in _ALL:
+        g = R.queries[n](spark, d).withColumnsRenamed({c: f"{n}_{c}" for c in _CLASH.get(n, [])})
+        r.register(FeatureSet(n, [c for c in g.columns if c != "fid"], lambda _, g=g: g))
+    return r
+
+
+def feature_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every implemented group on the spine of profiled accounts, missing features 0."""
+    return FeatureManager(feature_sets(spark, d), FeatureContext(spark, d)).matrix(V.profiles(spark, d))
+
+
+_OWN = {n: "* EXCLUDE ({}), {}".format(", ".join(c), ", ".join(f"{x} AS {n}_{x}" for x in c)) for n, c in _CLASH.items()}
+R.queries["feature_matrix_all"] = feature_matrix_all
+R.oracle["feature_matrix_all"] = V.with_views("p", "SELECT fid, coalesce(COLUMNS(* EXCLUDE (fid)), 0) FROM (SELECT DISTINCT fid FROM p) s\n"
+    + "\n".join(f"LEFT JOIN (SELECT {_OWN.get(n, '*')} FROM ({R.oracle[n]})) USING (fid)" for n in _ALL))
 QUERIES, ORACLE = R.queries, R.oracle

@@ -4,8 +4,9 @@ import datetime as dt
 import math
 
 import pytest
+from harness import DATA
 
-from rookery.plans import graph
+from rookery.plans import features, graph
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,11 @@ def test_belief_passes_five_rounds_of_messages(spark, path_graph):
     want = [0.5 + 0.4 * 0.8**i for i in range(6)]
     assert all(abs(got[i] - want[i]) < 1e-6 and abs(got[n - 1 - i] - (1 - want[i])) < 1e-6 for i in range(6))
     assert got[6] == 0.5
+
+
+def test_matrix_has_every_group(spark):
+    sf = f"{DATA}/sf0.001"
+    m = features.feature_matrix_all(spark, sf)
+    groups = set(features.QUERIES) - {"latest_names", "target_of_cast", "feature_matrix", "feature_matrix_all"}
+    width = sum(len(features.QUERIES[n](spark, sf).columns) - 1 for n in groups)
+    assert len(groups) == 39 and len(m.columns) == len(set(m.columns)) == 1 + width
