@@ -201,7 +201,7 @@ def ensemble(spark: SparkSession, d: str) -> DataFrame:
 def self_training(spark: SparkSession, d: str) -> DataFrame:
     """Labelled accounts after confident predictions have joined them."""
     have, rest = _training(spark, d)
-    return models.self_training(have, rest, _COLUMNS, models.ModelConfig(), rounds=2)[1].select("fid", "label")
+    return models.self_training(have, rest, _COLUMNS, models.ModelConfig())[1].select("fid", "label")
 
 
 def kmeans(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ import math
 import pytest
 from harness import DATA
 
-from rookery.plans import features, graph
+from rookery.ml import models
+from rookery.plans import features, graph, learning
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,15 @@ def test_matrix_has_every_group(spark):
     groups = set(features.QUERIES) - {"latest_names", "target_of_cast", "feature_matrix", "feature_matrix_all"}
     width = sum(len(features.QUERIES[n](spark, sf).columns) - 1 for n in groups)
     assert len(groups) == 39 and len(m.columns) == len(set(m.columns)) == 1 + width
+
+
+def test_self_training_goes_on_past_two_refits(spark, monkeypatch):
+    # labels that a fifth contradicts: every refit on what has joined is sure of a little more
+    cols = learning._COLUMNS
+    row = lambda i, x: (i, float(x), *[0.0] * (len(cols) - 1))
+    kinds = "fid bigint, " + ", ".join(f"{c} double" for c in cols)
+    have = spark.createDataFrame([(*row(i, 1 if i % 2 else -1), float((i % 2 == 1) != (i % 10 < 2))) for i in range(20)], kinds + ", label double").coalesce(1)
+    rest = spark.createDataFrame([row(1000 + i, (i - 50) / 25) for i in range(101)], kinds).coalesce(1)
+    monkeypatch.setattr(learning, "_training", lambda *_: (have, rest))
+    two = models.self_training(have, rest, cols, models.ModelConfig(), rounds=2)[1].count()
+    assert 20 < two < learning.self_training(spark, "").count()
