@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.timex import gap
+from rookery.operators.skew import ROWS_PER_TASK, time_chunks
 
 
-def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month") -> DataFrame:
+def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``df`` with prev_ts, gap_s, gap_m and gap_h: whole units since the account's event before, null for the first.
 
     Order is (ts, tie). Rows with a null key or time have no place in it and are dropped. The look-back runs
-    inside (key, calendar chunk); only the first event of a chunk takes the last time of the key's chunk
-    before, from a summary with one row per key and chunk. A busy account is so divided by the calendar.
+    inside (key, chunk of time); only the first event of a chunk takes the last time of the key's chunk before,
+    from a summary with one row per key and chunk. Chunks are calendar spans, and those of them with too many
+    rows are cut where their counted rows reach equal shares, so a busy account is divided even within a day.
     """
-    live = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("chunk__", F.date_trunc(chunk, F.col(ts)).cast("date")).repartition(key, "chunk__")
+    live = time_chunks(df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, "chunk__")
     w = Window.partitionBy(key, "chunk__").orderBy(ts, tie)
     ends = live.groupBy(key, "chunk__").agg(F.max(ts).alias("end__"))
     before = ends.select(F.col(key).alias("key__"), F.col("chunk__").alias("at__"), F.lag("end__").over(Window.partitionBy(key).orderBy("chunk__")).alias("before__"))
@@ -27,13 +29,13 @@ def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month")
     return out.withColumns({c: gap(u, F.col("prev_ts"), F.col(ts)) for c, u in units.items()})
 
 
-def with_running_count(df: DataFrame, key: str, ts: str, tie: str, counted: str, out: str, chunk: str = "month") -> DataFrame:
+def with_running_count(df: DataFrame, key: str, ts: str, tie: str, counted: str, out: str, chunk: str = "month", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``df`` with the number of non-null values of ``counted`` up to and including each row, by key in order of (ts, tie).
 
-    Null times come first. Runs inside (key, calendar chunk) with the count of the chunks before added from
-    one summary row per key and chunk; rows with a null key are dropped.
+    Null times come first. Runs inside (key, chunk of time), see :func:`with_gaps`, with the count of the chunks
+    before added from one summary row per key and chunk; rows with a null key are dropped.
     """
-    live = df.where(F.col(key).isNotNull()).withColumn("chunk__", F.coalesce(F.date_trunc(chunk, F.col(ts)).cast("date"), F.lit("0001-01-01").cast("date"))).repartition(key, "chunk__")
+    live = time_chunks(df.where(F.col(key).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, "chunk__")
     upto = Window.partitionBy(key, "chunk__").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     per = live.groupBy(key, "chunk__").agg(F.count(counted).alias("n__"))
     earlier = Window.partitionBy(key).orderBy("chunk__").rowsBetween(Window.unboundedPreceding, -1)

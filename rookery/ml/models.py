@@ -92,7 +92,7 @@ class Ensemble:
 
     def _calibrate(self, name: str, data: DataFrame) -> tuple[float, float]:
         c = self.config
-        k = 2  # two halves score each other
+        k = c.folds
         parts = folds(data, c.key, k, c.seed)
         out: DataFrame | None = None
         for i in range(k):

@@ -75,13 +75,20 @@ def segments(df: DataFrame, casts: str, replies: str, label: str) -> DataFrame:
     return a.where("segment IS NOT NULL").select("segment", "n", sdiv("n", total).alias("share"), "bot_rate", "avg_casts", "n_labelled", sdiv("n_labelled", "n").alias("coverage"))
 
 
-def priority(df: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
-    """The ``k`` keys with the greatest sum of columns, each divided by its maximum; ties by key."""
+def priority(df: DataFrame, key: str, columns: Sequence[str], k: int, among: DataFrame | None = None) -> DataFrame:
+    """The ``k`` keys with the greatest sum of columns, each divided by its maximum; ties by key.
+
+    Keys of ``among`` are done already: they count in the maxima and are left out of the list. A top-k that
+    every task shortens to ``k`` rows before it sends them.
+    """
     tops = scalars(df.agg(*[F.max(F.abs(c)).alias(c) for c in columns]))
     total = F.lit(0.0)
     for c in columns:
         total = total + F.coalesce(sdiv(c, tops(c)), F.lit(0.0))
-    return df.select(key, total.alias("priority")).orderBy(F.desc("priority"), key).limit(k)
+    ranked = df.select(key, total.alias("priority"))
+    if among is not None:
+        ranked = ranked.join(among.select(key), key, "left_anti")
+    return ranked.orderBy(F.desc("priority"), key).limit(k)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

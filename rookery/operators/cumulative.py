@@ -57,15 +57,30 @@ def type_features(store: DataFrame, as_of: Column | None = None, windows: Mappin
     return store.groupBy("entity", "event_type").agg(*aggs).where("n > 0")
 
 
-def feature_table(features: DataFrame, entity: str) -> DataFrame:
+def period_features(store: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(entity, event_type, n, total, last_ts) of the days from ``first`` to ``last``, both included.
+
+    Counts and totals are what the store held as of ``last`` less what it held as of the day before ``first``;
+    last_ts is the latest time in the period. Types without an event in it give no row. With
+    ``first`` = NO_DAY the events without a time are among the period's.
+    """
+    before = first - F.lit(1)
+    inside = (F.col("day") >= first) & (F.col("day") <= last)
+    aggs = [(_as_of(f"cum_{x}", last) - _as_of(f"cum_{x}", before)).alias(a) for x, a in (("n", "n"), ("total", "total"))]
+    return store.groupBy("entity", "event_type").agg(*aggs, F.max(F.when(inside, F.col("last_ts"))).alias("last_ts")).where("n > 0")
+
+
+def feature_table(features: DataFrame, entity: str, max_types: int = 100_000) -> DataFrame:
     """One row per entity: ``types``, an array of the per-type features ordered by type, and totals over all.
 
-    The array holds one entry per event type of the entity, so its length is bounded by the number of types.
+    The array holds one entry per event type of the entity. Its length is bounded by ``max_types``: an entity
+    with more types is an error and never a silently shortened or endless row.
     """
     cells = F.struct(*[c for c in features.columns if c != "entity"])
+    n_types = F.col("n_types") + F.coalesce(F.when(F.col("n_types") > max_types, F.raise_error(F.lit(f"more than {max_types} event types"))).cast("bigint"), F.lit(0))
     return features.groupBy(F.col("entity").alias(entity)).agg(
         F.count(F.lit(1)).alias("n_types"), F.sum("n").alias("n_events"), F.sum("total").alias("total"), F.max("last_ts").alias("last_ts"), F.array_sort(F.collect_list(cells)).alias("types")
-    )
+    ).withColumn("n_types", n_types)
 
 
 def wide_features(features: DataFrame, entity: str, types: Sequence[str], values: Sequence[str] = ("n", "total", "last_ts")) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,14 @@ class KeyedInput:
 
 
 def key_states(x: KeyedInput) -> DataFrame:
-    """(key, <name>_rows, <name>_<column>_sum ...) of one input; rows with a null key form one state."""
+    """(key, <name>_rows, <name>_<column>_sum ...) of one input; rows with a null key form one state.
+
+    Sums of whole numbers are decimal(38, 0), as those of busy keys outgrow bigint.
+    """
+    whole = lambda c: F.sum(x.df[c].cast("decimal(20,0)")).cast("decimal(38,0)") if isinstance(x.df.schema[c].dataType, T.IntegralType) else F.sum(x.df[c])
     return x.df.groupBy(F.col(x.key).alias("key")).agg(
         F.count(F.lit(1)).alias(f"{x.name}_rows"),
-        *[F.sum(x.df[c]).alias(f"{x.name}_{c}_sum") for c in x.sums],
+        *[whole(c).alias(f"{x.name}_{c}_sum") for c in x.sums],
     )
 
 
@@ -52,33 +57,33 @@ def join_totals(states: DataFrame, left: str, right: str, left_sums: Sequence[st
     """Per key, what grouping the inner join of two inputs would give, without running that join.
 
     ``pairs`` is the row count of the join; ``<input>_<column>_joined`` the sum of the column over it.
-    Products are decimal(38, 0): they outgrow bigint for busy keys.
+    Counts are multiplied as decimals, so products of whole numbers are decimal(38, 0): they outgrow bigint for
+    busy keys.
     """
     n = lambda x: F.col(f"{x}_rows").cast("decimal(19,0)")
+    times = lambda total, x: (F.col(total) * (n(x) if isinstance(states.schema[total].dataType, T.DecimalType) else F.col(f"{x}_rows"))).alias(total.removesuffix("_sum") + "_joined")
     inner = states.where(F.col("key").isNotNull() & (F.col(f"{left}_rows") > 0) & (F.col(f"{right}_rows") > 0))
     return inner.select(
         "key",
         (n(left) * n(right)).alias("pairs"),
-        *[(F.col(f"{left}_{c}_sum") * F.col(f"{right}_rows")).alias(f"{left}_{c}_joined") for c in left_sums],
-        *[(F.col(f"{right}_{c}_sum") * F.col(f"{left}_rows")).alias(f"{right}_{c}_joined") for c in right_sums],
+        *[times(f"{left}_{c}_sum", right) for c in left_sums],
+        *[times(f"{right}_{c}_sum", left) for c in right_sums],
     )
 
 
-def heavy_keys(states: DataFrame, inputs: dict[str, str], percent: int) -> DataFrame:
-    """(key_field, key, n, total): keys that hold at least ``percent`` of all rows of an input.
+def heavy_keys(inputs: Sequence[KeyedInput], percent: int) -> DataFrame:
+    """(key_field, key, n, total): keys that hold at least ``percent`` of all rows of an input; its name is the key_field.
 
-    ``inputs`` maps the name used in ``states`` to the label of the result. Rows with a null key count in the
-    total but are no key. At most 100 / percent keys per input come out, whatever the size of the data; the
-    totals that are broadcast are one row per input.
+    The states of all inputs are joined with the totals their own roll-up gives, and the counts multiplied out:
+    no row of an input meets another. Rows with a null key count in the total but are no key. At most
+    100 / percent keys per input come out, whatever the size of the data; the totals that are broadcast are
+    one row per input.
     """
-    cells = states.select(
-        "key",
-        F.explode(F.array(*[F.struct(F.lit(label).alias("key_field"), F.col(f"{name}_rows").alias("n")) for name, label in inputs.items()])).alias("c"),
-    ).select("key", "c.key_field", "c.n")
+    cells: DataFrame | None = None
+    for x in inputs:
+        s = key_states(KeyedInput(x.df, "x", x.key)).select("key", F.lit(x.name).alias("key_field"), F.col("x_rows").alias("n"))
+        cells = s if cells is None else cells.unionAll(s)
+    assert cells is not None, "at least one input"
     totals = cells.groupBy("key_field").agg(F.sum("n").alias("total"))
-    return (
-        cells.where("key IS NOT NULL AND n > 0")
-        .join(F.broadcast(totals), "key_field")
-        .where(F.col("n") * 100 >= F.col("total") * percent)
-        .select("key_field", "key", "n", "total")
-    )
+    share = F.col("n").cast("decimal(19,0)") * 100 >= F.col("total").cast("decimal(19,0)") * percent
+    return cells.where("key IS NOT NULL").join(F.broadcast(totals), "key_field").where(share).select("key_field", "key", "n", "total")

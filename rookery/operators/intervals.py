@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.functions.safe import scalars
+from rookery.operators.skew import ROWS_PER_TASK, hot_groups, with_parts
+
+#: Runs of integer keys are looked up by aligned ranges of so many keys.
+KEY_RANGE = 256
+_EVER = 9_223_372_036_854_775_807
+_BEFORE = -9_223_372_036_854_775_808
 
 
 def lifetime_runs(parents: DataFrame, key: str, start: str, end: str, chunk_us: int = 30 * 86_400_000_000) -> DataFrame:
-    """(k, s, e): the instants at which a key exists, compressed into runs.
+    """(k, s, e, nr): the instants at which a key exists, compressed into runs numbered from 1.
 
     The instants of a key are integers (microseconds); each row of ``parents`` covers the contiguous range
     [start, end), without an end for a null ``end`` (e is then null). Ranges of one key that overlap or touch
     merge, so runs of a key are disjoint and sorted. Rows with a null key or start, and empty ranges, cover
     nothing. Inputs are expected as bigint columns.
     """
-    far = F.lit(9_223_372_036_854_775_807)
+    far = F.lit(_EVER)
     rows = (
         parents.where(F.col(key).isNotNull() & F.col(start).isNotNull())
         .select(F.col(key).alias("k"), F.col(start).alias("s"), F.coalesce(F.col(end), far).alias("e"))
@@ -28,7 +33,7 @@ def lifetime_runs(parents: DataFrame, key: str, start: str, end: str, chunk_us:
     # ranges that start in one chunk of time merge first, so that a key with very many rows is divided
     by_chunk = _merged(rows.withColumn("c", F.expr(f"s div {chunk_us}")), ["k", "c"])
     runs = _merged(by_chunk.select("k", "s", "e"), ["k"])
-    return runs.select("k", "s", F.when(F.col("e") < far, F.col("e")).alias("e"))
+    return runs.select("k", "s", F.when(F.col("e") < far, F.col("e")).alias("e"), F.col("run").cast("bigint").alias("nr"))
 
 
 def _merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,37 +45,71 @@ def _merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy(*keys, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, hot_share: float = 0.002, salts: int = 64) -> DataFrame:
+def key_runs(parents: DataFrame, key: str) -> DataFrame:
+    """(at, runs): the integer keys of ``parents``, sorted and compressed into contiguous runs (a .. z).
+
+    A run is cut at multiples of KEY_RANGE, so that ``runs``, the sorted runs of one aligned range of keys, has
+    a bounded length, and the compression divides over the ranges: no task sorts all keys. Null keys and
+    repeated rows add nothing.
+    """
+    ks = parents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k")).distinct().withColumn("at", _range_of(F.col("k")))
+    island = F.col("k") - F.row_number().over(Window.partitionBy("at").orderBy("k"))
+    runs = ks.withColumn("island", island).groupBy("at", "island").agg(F.min("k").alias("a"), F.max("k").alias("z"))
+    return runs.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("runs"))
+
+
+def _range_of(k: Column) -> Column:
+    return k - F.pmod(k, F.lit(KEY_RANGE))
+
+
+def with_known(refs: DataFrame, runs: DataFrame, key: str, out: str = "known__") -> DataFrame:
+    """``refs`` with ``out``: whether the key lies inside a run of :func:`key_runs`; null keys are in none.
+
+    Every reference is matched as of its key to the preceding run start; it is beyond the run if the key is
+    greater than the run's end. The join is by aligned ranges of keys; whether the runs are broadcast, and so
+    references stay where they are, is the optimiser's decision by their size.
+    """
+    r = runs.select(F.col("at").alias("at__"), F.col("runs").alias("runs__"))
+    k = F.col(key)
+    preceding = F.try_element_at(F.filter("runs__", lambda x: x["a"] <= k), F.lit(-1))
+    j = refs.join(r, _range_of(k) == F.col("at__"), "left")
+    return j.withColumn(out, F.coalesce(k <= preceding["z"], F.lit(False))).drop("at__", "runs__")
+
+
+def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, rows_per_task: int = ROWS_PER_TASK, integer_keys: bool = False) -> DataFrame:
     """Rows of ``refs`` whose key does not exist at the row's instant, with ``orphan_kind``.
 
-    Every reference is matched as of its instant to the preceding run start of its key and is an orphan when
-    there is none or the run has ended: ``gone`` (a run ended before), ``later`` (the key comes only later) or
-    ``never`` (the key has no run at all). References with a null key or instant refer to nothing and are not
-    reported. Columns of ``refs`` are kept, whatever their names; one called orphan_kind is replaced. Empty
-    inputs give no rows, or, without runs, every reference as ``never``. Equal rows are reported each.
+    Two as-of matches decide. Keys first, where they are integers (``integer_keys``): existing keys are
+    compressed into contiguous runs, a reference is matched to the preceding run start, and one beyond the
+    run's end is an orphan of kind ``never``, whatever its time. Then time: every other reference is matched as
+    of its instant to the preceding start of its key's lifetimes and is an orphan when there is none or that
+    lifetime has ended: ``gone`` (one ended before), ``later`` (the key comes only later) or ``never`` (no
+    lifetime at all). References with a null key or instant refer to nothing and are not reported. Columns of
+    ``refs`` are kept, whatever their names; one called orphan_kind is replaced. Empty inputs give no rows, or,
+    without runs, every reference as ``never``. Equal rows are reported each.
 
-    References and runs are merged in one sorted pass per (key, salt). A key with at least ``hot_share`` of
-    all references (at most 1 / hot_share keys, which bounds what is broadcast) is split into ``salts``
-    slices of its references, each with a copy of that key's runs.
+    References and lifetimes merge in one sorted pass per (key, part). A key with more than ``rows_per_task``
+    references is divided into parts by its count, each with a copy of that key's lifetimes.
     """
-    live = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    counts = live.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = scalars(counts.agg(F.sum("n").alias("n")))("n")
-    hot = counts.where((F.col("n") > 1000) & (F.col("n") >= total * hot_share)).select(F.col("k").alias("hot_k"))
     kept = [c for c in refs.columns if c != "orphan_kind"]
     payload = F.struct(*[F.col(f"`{c}`") for c in kept])
-    keyed = live.select(F.col(key).alias("k"), F.col(at).alias("t"), payload.alias("row"))
+    keyed = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), payload.alias("row"))
+    unknown: DataFrame | None = None
+    if integer_keys:
+        known = with_known(keyed, key_runs(runs, "k"), "k")
+        unknown = known.where("NOT known__").select("row.*", F.lit("never").alias("orphan_kind"))
+        keyed = known.where("known__").drop("known__")
+    hot = hot_groups(keyed.select("k"), ["k"], rows_per_task)
     hashable = [F.col(f"row.`{c}`") for c in kept if "map" not in refs.schema[c].dataType.simpleString() and "variant" not in refs.schema[c].dataType.simpleString()]
-    slot = F.pmod(F.xxhash64("t", *hashable), F.lit(salts)).cast("int")
-    left = keyed.join(F.broadcast(hot), F.col("k") == F.col("hot_k"), "left").select(
-        "k", "t", F.when(F.col("hot_k").isNotNull(), slot).otherwise(0).alias("salt"), "row", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("e")
-    )
-    every = F.when(F.col("hot_k").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = runs.join(F.broadcast(hot), F.col("k") == F.col("hot_k"), "left").select(
-        "k", F.col("s").alias("t"), F.explode(every).alias("salt"), F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.lit(0).alias("side"), F.coalesce("e", F.lit(9_223_372_036_854_775_807)).alias("e")
+    left = with_parts(keyed, ["k"], hot).select(
+        "k", "t", F.when(F.col("parts__") > 1, F.pmod(F.xxhash64("t", *hashable), F.col("parts__"))).otherwise(0).cast("int").alias("part"), "row", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("e")
     )
-    order = Window.partitionBy("k", "salt").orderBy("t", "side")
-    ahead = order.rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionAll(right).withColumn("until", F.last("e", True).over(ahead)).withColumn("any_run", F.max("e").over(Window.partitionBy("k", "salt")))
-    kind = F.when(F.col("until").isNotNull(), "gone").when(F.col("any_run").isNotNull(), "later").otherwise("never")
-    return both.where("side = 1 AND (until IS NULL OR until <= t)").select("row.*", kind.alias("orphan_kind"))
+    # a key's first lifetime brings a mark that sorts before every instant: the key exists at some time
+    marked = F.array_compact(F.array(F.when(F.col("nr") == 1, F.struct(F.lit(_BEFORE).alias("t"), F.lit(_BEFORE).alias("e"))), F.struct(F.col("s").alias("t"), F.coalesce("e", F.lit(_EVER)).alias("e"))))
+    right = with_parts(runs, ["k"], hot).select("k", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)).alias("part"), marked.alias("m"))
+    right = right.select("k", "part", F.explode("m").alias("m")).select("k", "m.t", "part", F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.lit(0).alias("side"), "m.e")
+    order = Window.partitionBy("k", "part").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumn("until", F.last("e", True).over(order))
+    kind = F.when(F.col("until").isNull(), "never").when(F.col("until") == _BEFORE, "later").otherwise("gone")
+    out = both.where("side = 1 AND (until IS NULL OR until <= t)").select("row.*", kind.alias("orphan_kind"))
+    return out if unknown is None else out.unionByName(unknown)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions.timex import micros
-from rookery.operators.cumulative import cumulative_store, feature_table, type_features
+from rookery.operators.cumulative import NO_DAY, cumulative_store, feature_table, period_features, type_features
 from rookery.operators.eager import KeyedInput, eager_states, heavy_keys, join_totals
 from rookery.operators.intervals import lifetime_runs, orphans
 from rookery.operators.rolling import daily_totals, rolling_totals
@@ -16,34 +16,30 @@ from rookery.sources.tables import activity, records, table
 
 SESSION_GAP_SECONDS = 1800
 HEAVY_PERCENT = 3
+#: the last day that a timestamp can name, in days since 1970-01-01
+LAST_DAY = 2_932_896
 
 _KEYS = {"casts": "casts.fid", "reactions": "reactions.fid", "follows": "follows.target_fid"}
 
 
-def _p1_states(spark: SparkSession, d: str) -> DataFrame:
-    return eager_states(
-        [
-            KeyedInput(table(spark, d, "casts", ["fid"]), "casts", "fid"),
-            KeyedInput(table(spark, d, "reactions", ["fid"]), "reactions", "fid"),
-            KeyedInput(table(spark, d, "follows", ["target_fid"]), "follows", "target_fid"),
-        ]
-    )
+def _p1_inputs(spark: SparkSession, d: str, names: dict[str, str]) -> list[KeyedInput]:
+    return [KeyedInput(table(spark, d, t, [k.split(".")[1]]), names[t], k.split(".")[1]) for t, k in _KEYS.items()]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys with at least 3 % of all rows of their table."""
-    return heavy_keys(_p1_states(spark, d), _KEYS, HEAVY_PERCENT).select("key_field", F.col("key").alias("fid"))
+    return heavy_keys(_p1_inputs(spark, d, _KEYS), HEAVY_PERCENT).select("key_field", F.col("key").alias("fid"))
 
 
 def p1_accounts(spark: SparkSession, d: str) -> DataFrame:
-    """Per account: rows in each table and the rows that casts x reactions of the account would give."""
-    s = _p1_states(spark, d)
+    """Per account: rows in each table and the rows that casts x reactions of the account would give, as exact decimal digits."""
+    s = eager_states(_p1_inputs(spark, d, {t: t for t in _KEYS}))
     pairs = join_totals(s, "casts", "reactions").withColumnRenamed("key", "fid")
     return (
         s.where("key IS NOT NULL")
         .withColumnRenamed("key", "fid")
         .join(pairs, "fid", "left")
-        .select("fid", "casts_rows", "reactions_rows", "follows_rows", F.coalesce(F.col("pairs").cast("bigint"), F.lit(0).cast("bigint")).alias("cast_reaction_pairs"))
+        .select("fid", "casts_rows", "reactions_rows", "follows_rows", F.coalesce(F.col("pairs").cast("string"), F.lit("0")).alias("cast_reaction_pairs"))
     )
 
 
@@ -84,8 +80,9 @@ def _store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Accounts and kinds with at least 3 events."""
-    return type_features(_store(spark, d)).where("n >= 3").select(F.col("entity").alias("fid"), "event_type")
+    """Accounts and kinds with at least 3 events in the period from the undated events to the last day there is."""
+    events = period_features(_store(spark, d), F.lit(NO_DAY), F.lit(LAST_DAY))
+    return events.where("n >= 3").select(F.col("entity").alias("fid"), "event_type")
 
 
 def p3_type_features(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +167,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     accounts, casts = _references(spark, d)
     s = table(spark, d, "signers", ["fid", "timestamp", "deleted_at"]).select("fid", micros("timestamp").alias("s"), micros("deleted_at").alias("e"))
     h = table(spark, d, "casts", ["hash", "timestamp", "deleted_at"]).select("hash", micros("timestamp").alias("s"), micros("deleted_at").alias("e"))
-    a = orphans(accounts, lifetime_runs(s, "fid", "s", "e"), "k", "t")
+    a = orphans(accounts, lifetime_runs(s, "fid", "s", "e"), "k", "t", integer_keys=True)
     b = orphans(casts, lifetime_runs(h, "hash", "s", "e"), "k", "t")
     cols = ("ref_field", "row_key", "t", "orphan_kind")
     return a.select(*cols).unionAll(b.select(*cols))
@@ -269,7 +266,7 @@ ORACLE = {
     "p1_found": _HEAVY,
     "p1_accounts": """WITH k AS (SELECT fid FROM casts UNION SELECT fid FROM reactions UNION SELECT target_fid FROM follows),
 c AS (SELECT fid, count(*) AS n FROM casts GROUP BY 1), r AS (SELECT fid, count(*) AS n FROM reactions GROUP BY 1), f AS (SELECT target_fid AS fid, count(*) AS n FROM follows GROUP BY 1)
-SELECT k.fid, coalesce(c.n, 0) AS casts_rows, coalesce(r.n, 0) AS reactions_rows, coalesce(f.n, 0) AS follows_rows, coalesce(c.n * r.n, 0) AS cast_reaction_pairs
+SELECT k.fid, coalesce(c.n, 0) AS casts_rows, coalesce(r.n, 0) AS reactions_rows, coalesce(f.n, 0) AS follows_rows, coalesce(CAST(c.n::HUGEINT * r.n AS VARCHAR), '0') AS cast_reaction_pairs
 FROM k LEFT JOIN c USING (fid) LEFT JOIN r USING (fid) LEFT JOIN f USING (fid) WHERE k.fid IS NOT NULL""",
     "p2_found": _SESSIONS + "SELECT fid, start_us, end_us FROM x",
     "p2_sessions": _SESSIONS + "SELECT fid, start_us, end_us, duration_us, n_events FROM x",

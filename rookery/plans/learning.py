@@ -122,9 +122,8 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(_sql("SELECT fid, round(casts / (SELECT max(casts) FROM sc) + reacts / (SELECT max(reacts) FROM sc), 6) AS priority FROM sc WHERE fid NOT IN (SELECT fid FROM lb) ORDER BY casts / (SELECT max(casts) FROM sc) + reacts / (SELECT max(reacts) FROM sc) DESC, fid LIMIT 50"))
 def priority_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = _scores(spark, d)
-    top = S.priority(s, "fid", ["casts", "reacts"], 1 << 30)  # all, then the unlabelled
-    x = top.join(V.labels(spark, d), "fid", "left_anti").orderBy(F.desc("priority"), "fid").limit(50)
+    """The 50 unlabelled accounts of most activity; maxima are those of all accounts."""
+    x = S.priority(_scores(spark, d), "fid", ["casts", "reacts"], 50, among=V.labels(spark, d))
     return _round(x, "priority")
 
 

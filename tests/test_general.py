@@ -6,12 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rookery.features.gaps import with_gaps, with_running_count
 from rookery.functions.timex import micros
-from rookery.operators.cumulative import cumulative_store, feature_table, type_features, wide_features
+from rookery.operators.cumulative import NO_DAY, cumulative_store, feature_table, period_features, type_features, wide_features
 from rookery.operators.eager import KeyedInput, eager_states, heavy_keys, join_totals
-from rookery.operators.intervals import lifetime_runs, orphans
+from rookery.operators.intervals import key_runs, lifetime_runs, orphans, with_known
 from rookery.operators.rolling import daily_totals, rolling_totals
 from rookery.operators.sessions import sessionize
+from rookery.operators.skew import hot_groups, time_chunks, with_parts
 from rookery.operators.snapshots import snapshot_changes
 from rookery.streaming.sessions import stream_counts, stream_sessions
 
@@ -49,10 +51,17 @@ def test_join_totals_equal_the_join(spark):
 
 def test_heavy_keys_count_null_rows_in_the_total(spark):
     a = spark.createDataFrame([(1,)] * 3 + [(2,)] * 2 + [(None,)] * 95, "fid int")
-    s = eager_states([KeyedInput(a, "a", "fid")])
-    assert rows(heavy_keys(s, {"a": "a.fid"}, 3)) == [("a.fid", 1, 3, 100)]
-    empty = eager_states([KeyedInput(a.limit(0), "a", "fid")])
-    assert rows(heavy_keys(empty, {"a": "a.fid"}, 3)) == []
+    assert rows(heavy_keys([KeyedInput(a, "a.fid", "fid")], 3)) == [("a.fid", 1, 3, 100)]
+    assert rows(heavy_keys([KeyedInput(a.limit(0), "a.fid", "fid")], 3)) == []
+
+
+def test_products_of_busy_keys_do_not_overflow(spark):
+    s = spark.createDataFrame([(1, 4_000_000_000, 5_000_000_000, 10**12)], "key int, a_rows bigint, b_rows bigint, a_x_sum bigint")
+    s = s.withColumn("a_x_sum", F.col("a_x_sum").cast("decimal(38,0)"))
+    got = join_totals(s, "a", "b", ["x"]).first()
+    assert (got["pairs"], got["a_x_joined"]) == (20 * 10**18, 5 * 10**21)
+    big = spark.createDataFrame([(1, 2**62)] * 4, "k int, x bigint")
+    assert eager_states([KeyedInput(big, "a", "k", ["x"])]).first()["a_x_sum"] == 2**64
 
 
 # 2. sessions
@@ -88,6 +97,40 @@ def test_sessions_match_brute_force_whatever_the_chunk(spark, seed):
         assert rows(sessionize(df, "fid", "t", 1800, chunk_seconds=chunk).select("fid", "start_us", "end_us")) == sorted(want, key=str)
 
 
+def test_hot_chunks_of_sessions_are_divided(spark):
+    # one account with a third of all events, most of them in one second
+    rng = random.Random(9)
+    e = [(7, at(50_000, rng.randrange(10**6)), i) for i in range(900)] + [(7, at(rng.randrange(90_000)), i) for i in range(900, 1000)]
+    e += [(rng.randrange(10, 400), at(rng.randrange(90_000)), i) for i in range(1000, 3000)]
+    e += e[::7]
+    df = spark.createDataFrame(e, "fid int, t timestamp_ntz, id int")
+    plain, cut = (rows(sessionize(df, "fid", "t", 600, ["id"], rows_per_task=n)) for n in (10**9, 50))
+    assert plain == cut and sum(r[4] for r in cut) == 3000
+    parts = with_parts(df, ["fid"], hot_groups(df, ["fid"], 50)).groupBy("fid").agg(F.max("parts__").alias("p")).where("p > 1").collect()
+    assert [(r["fid"], r["p"]) for r in parts] == [(7, -(-sum(x[0] == 7 for x in e) // 50))]
+    assert hot_groups(df.limit(0), ["fid"], 50).count() == 0
+
+
+def test_chunks_of_time_are_balanced_and_in_order(spark):
+    rng = random.Random(3)
+    e = [(1, at(rng.choice([5, rng.randrange(80_000)]))) for _ in range(2000)] + [(2, at(9)), (1, None), (None, at(3))]
+    x = time_chunks(spark.createDataFrame(e, "fid int, t timestamp_ntz"), "fid", "t", rows_per_task=200)
+    got = sorted((tuple(r["chunk__"]), r["t"]) for r in x.where("fid = 1 AND t IS NOT NULL").collect())
+    assert len(got) == 2000 and [t for _, t in got] == sorted(t for _, t in got)  # chunks do not interleave
+    sizes = sorted(r["count"] for r in x.where("fid = 1").groupBy("chunk__").count().collect())
+    assert sizes[-1] <= 1400 and max(sizes[:-1]) <= 210 and x.count() == len(e)
+
+
+def test_gaps_do_not_depend_on_the_chunks(spark):
+    rng = random.Random(4)
+    e = [(rng.choice([1, 1, 1, 2, 3]), i, at(rng.choice([77, rng.randrange(10**7)]))) for i in range(600)]
+    df = spark.createDataFrame(e, "fid int, id int, ts timestamp_ntz").withColumns({"rows__": F.lit(1), "n": F.lit(1)})
+    a, b = (rows(with_gaps(df, "fid", "ts", "id", rows_per_task=n).select("fid", "id", "prev_ts", "gap_s")) for n in (10**9, 20))
+    assert a == b and len(a) == 600
+    a, b = (rows(with_running_count(df, "fid", "ts", "id", "id", "c", rows_per_task=n).select("fid", "id", "c")) for n in (10**9, 20))
+    assert a == b and len(a) == 600
+
+
 def test_stream_sessions_take_late_events(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -126,6 +169,12 @@ def test_windows_by_subtraction(spark):
     a, b = t[1, "a"], t[1, "b"]
     assert (a["n"], a["total"], a["n_7d"], a["n_5d"], a["last_ts"]) == (3, 7, 1, 1, day(3))
     assert (b["n"], b["total"], b["n_7d"], b["last_ts"]) == (1, 4, 0, None)
+    p = {(r["entity"], r["event_type"]): (r["n"], r["total"], r["last_ts"]) for r in period_features(store, end - 6, end).collect()}
+    assert p == {(1, "a"): (1, 2, day(3))}
+    p = {(r["entity"], r["event_type"]): r["n"] for r in period_features(store, F.lit(NO_DAY), end).collect()}
+    assert p == {(1, "a"): 3, (1, "b"): 1}
+    with pytest.raises(Exception, match="more than 1 event types"):
+        feature_table(type_features(store), "fid", max_types=1).collect()
     one = feature_table(type_features(store), "fid").collect()
     assert len(one) == 1 and one[0]["n_events"] == 5 and [x["event_type"] for x in one[0]["types"]] == ["a", "b"]
     wide = wide_features(type_features(store), "fid", ["a", "b", "c"]).collect()[0]
@@ -179,21 +228,40 @@ def test_rolling_matches_brute_force(spark):
 def test_orphan_kinds(spark):
     p = [(1, 10, 20), (1, 15, 30), (1, 40, None), (2, 5, 5), (None, 1, 2), (3, None, 9), (1, 10, 12)]
     runs = lifetime_runs(spark.createDataFrame(p, "k bigint, s bigint, e bigint"), "k", "s", "e")
-    assert rows(runs) == [(1, 10, 30), (1, 40, None)]
-    assert rows(lifetime_runs(spark.createDataFrame(p, "k bigint, s bigint, e bigint"), "k", "s", "e", chunk_us=4)) == [(1, 10, 30), (1, 40, None)]
+    assert rows(runs) == [(1, 10, 30, 1), (1, 40, None, 2)]
+    assert rows(lifetime_runs(spark.createDataFrame(p, "k bigint, s bigint, e bigint"), "k", "s", "e", chunk_us=4)) == [(1, 10, 30, 1), (1, 40, None, 2)]
     refs = spark.createDataFrame([(1, 9), (1, 10), (1, 29), (1, 30), (1, 40), (2, 6), (3, 1), (None, 4), (1, None), (1, 9)], "fid bigint, t bigint")
     refs = refs.withColumns({"k": F.lit("x"), "side": F.lit(5), "e": F.lit(1), "salt": F.lit(1), "orphan_kind": F.lit("?"), "m": F.create_map(F.lit(1), F.lit(2))})
     got = sorted((r["fid"], r["t"], r["orphan_kind"], r["k"]) for r in orphans(refs, runs, "fid", "t").collect())
     assert got == [(1, 9, "later", "x"), (1, 9, "later", "x"), (1, 30, "gone", "x"), (2, 6, "never", "x"), (3, 1, "never", "x")]
     assert orphans(refs.limit(0), runs, "fid", "t").count() == 0
     assert orphans(refs, runs.limit(0), "fid", "t").where("orphan_kind = 'never'").count() == 8
+    assert sorted((r["fid"], r["t"], r["orphan_kind"], r["k"]) for r in orphans(refs, runs, "fid", "t", integer_keys=True).collect()) == got
+    assert orphans(refs, runs.limit(0), "fid", "t", integer_keys=True).where("orphan_kind = 'never'").count() == 8
+    assert orphans(refs.limit(0), runs, "fid", "t", integer_keys=True).count() == 0
+
+
+def test_integer_keys_are_compressed_to_runs(spark):
+    rng = random.Random(6)
+    keys = sorted({rng.choice([-1, 1]) * rng.randrange(1200) for _ in range(1500)} | {2**62, 2**62 + 1})
+    df = spark.createDataFrame([(k,) for k in keys for _ in range(2)] + [(None,)], "fid bigint")
+    runs = key_runs(df, "fid")
+    got = sorted((a, z) for r in runs.collect() for a, z in r["runs"])
+    assert [k for a, z in got for k in range(a, z + 1)] == keys and len(got) < len(keys)
+    assert all(r["runs"] == sorted(r["runs"]) and len(r["runs"]) <= 128 for r in runs.collect())
+    asked = list(range(-1300, 1300)) + [2**62 - 1, 2**62, 2**62 + 2]
+    refs = spark.createDataFrame([(k,) for k in asked] + [(None,)], "fid bigint").withColumns({"at": F.lit(1), "runs": F.lit(2)})
+    known = {r["fid"]: r["known__"] for r in with_known(refs, runs, "fid").collect()}
+    assert known == {k: k in set(keys) for k in asked} | {None: False}
+    assert not any(r["known__"] for r in with_known(refs, runs.limit(0), "fid").collect())
 
 
 def test_a_hot_reference_key_is_split(spark):
     refs = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("fid"), F.col("id").alias("t"))
     runs = lifetime_runs(spark.createDataFrame([(7, 100, 200), (4500, 0, None)], "k bigint, s bigint, e bigint"), "k", "s", "e")
-    got = orphans(refs, runs, "fid", "t").groupBy("orphan_kind").count().collect()
-    assert {r["orphan_kind"]: r["count"] for r in got} == {"later": 100, "gone": 3800, "never": 999}
+    for ints in (False, True):
+        got = orphans(refs, runs, "fid", "t", rows_per_task=300, integer_keys=ints).groupBy("orphan_kind").count().collect()
+        assert {r["orphan_kind"]: r["count"] for r in got} == {"later": 100, "gone": 3800, "never": 999}
 
 
 def test_micros_ignores_the_session_zone(spark):
