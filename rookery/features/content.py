@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.features.common import finish
 from rookery.features.gaps import with_gaps, with_running_count
-from rookery.functions.safe import count_if, sdiv
+from rookery.functions.safe import count_if, scalars, sdiv
 from rookery.functions.text import PATTERNS, count_of, has, json_list_size, share_of_symbol, words
 
 # fixed values: the vocabulary the text features are defined by. Boundaries are ASCII, written out.
@@ -30,53 +30,56 @@ def _mean(p) -> object:
 
 
 def texts(casts: DataFrame) -> DataFrame:
-    """Length, replies, links, vocabulary and originality of an account's posts; deleted ones included.
+    """Length, replies, links, vocabulary and originality of an account's live posts.
 
-    Distinct texts are counted by the hash of the text, so no aggregate holds texts.
+    Counts, lengths and shares are over live posts with a text; vocabulary (0 words without a text), originality
+    and uniqueness over all live posts, in which a missing text is one more distinct text. Distinct texts are
+    counted by the hash of the text, so no aggregate holds texts.
     """
     w = words("text")
     n_words = F.size(w)
     word_length = F.aggregate(w, F.lit(0), lambda s, x: s + F.char_length(x)).cast("double") / n_words
-    x = casts.select(
+    known = F.col("text").isNotNull()
+    x = casts.where("deleted_at IS NULL").select(
         "fid",
-        "parent_hash",
+        (known & F.col("parent_hash").isNotNull()).alias("reply"),
         F.char_length("text").alias("len"),
         has("handle", "text").alias("handle"),
         count_of("link", "text").alias("links"),
         F.xxhash64("text").alias("h"),
-        F.col("text").isNotNull().alias("known"),
-        F.when(F.col("text").isNotNull(), F.size(F.array_distinct(w))).alias("uniq"),
-        F.when(F.col("text").isNotNull(), n_words).alias("nw"),
-        F.when(F.col("text").isNotNull(), word_length * F.size(F.split("text", r"\.", -1))).alias("complexity"),
+        known.alias("known"),
+        F.when(known, F.size(F.array_distinct(w))).alias("uniq"),
+        F.when(known, n_words).alias("nw"),
+        F.when(known, word_length * F.size(F.split("text", r"\.", -1))).alias("complexity"),
     )
     a = x.groupBy("fid").agg(
-        F.count(F.lit(1)).alias("cast_count"),
+        count_if(F.col("known")).alias("cast_count"),
+        F.count(F.lit(1)).alias("n"),
         F.avg("len").alias("avg_cast_length"),
-        F.count("parent_hash").alias("reply_count"),
+        count_if(F.col("reply")).alias("reply_count"),
         count_if(F.col("handle")).alias("mention_count"),
         F.sum("links").alias("links"),
         F.avg(F.col("uniq") / (F.col("nw") + 1)).alias("content_type_diversity"),
         F.avg("complexity").alias("content_complexity"),
-        F.avg("uniq").alias("vocabulary_richness"),
+        F.avg(F.coalesce("uniq", F.lit(0))).alias("vocabulary_richness"),
         F.avg("links").alias("hashtag_usage"),
-        F.count_distinct(F.when(F.col("known"), F.col("h"))).alias("nu"),
-        count_if(F.col("known")).alias("nt"),
+        (F.count_distinct(F.when(F.col("known"), F.col("h"))) + F.max((~F.col("known")).cast("int"))).alias("nu"),
     )
-    out = a.withColumns({"link_usage_rate": sdiv("links", "cast_count"), "content_originality": sdiv("nu", "nt"), "content_uniqueness": sdiv("nu", "cast_count")})
-    return finish(out.drop("links", "nu", "nt"))
+    out = a.withColumns({"link_usage_rate": sdiv("links", "cast_count"), "content_originality": sdiv("nu", "cast_count"), "content_uniqueness": sdiv("nu", "n")})
+    return finish(out.drop("links", "nu", "n"))
 
 
 def mentions(casts: DataFrame) -> DataFrame:
-    """Mentions (a JSON array) and the share of posts with each suspicious pattern."""
+    """Mentions (a JSON array) in an account's live posts with a text, and the share of those with each suspicious pattern."""
     m = json_list_size("mentions")
-    a = casts.groupBy("fid").agg(
+    a = casts.where("deleted_at IS NULL AND text IS NOT NULL").groupBy("fid").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(m).alias("total_mentions"),
         count_if(m > 0).alias("casts_with_mentions"),
         F.avg(m).alias("avg_mentions_per_cast"),
         _mean(has("emoji_run", "text")).alias("emoji_spam_ratio"),
         _mean(has("price", "text")).alias("price_mention_ratio"),
-        _mean(has("symbol_run", "text")).alias("symbol_spam_ratio"),
+        _mean(has("excessive_symbols", "text")).alias("symbol_spam_ratio"),
         _mean(has("airdrop_terms", "text")).alias("airdrop_term_ratio"),
     )
     return finish(a.withColumn("mention_frequency", sdiv("casts_with_mentions", "n")).drop("n"))
@@ -189,42 +192,66 @@ def reactions(reacts: DataFrame) -> DataFrame:
     )
 
 
-def engagement(casts: DataFrame, reacts: DataFrame, history: DataFrame) -> DataFrame:
-    """Reactions against followers, influence and the balance of creating and consuming; each input is one row per account first."""
-    c = casts.groupBy("fid").agg(F.count(F.lit(1)).alias("casts"))
-    r = reacts.where("deleted_at IS NULL").groupBy("fid").agg(F.count(F.lit(1)).alias("reacts"), F.count_distinct("target_fid").alias("reach"))
+def _last_followers(history: DataFrame) -> DataFrame:
+    """(fid, followers, following) of the newest counters."""
     o = F.struct("created_at", "export_ts")
     last = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), o))
-    h = history.groupBy("fid").agg(last("follower_count").alias("followers"), last("following_count").alias("following"))
-    j = c.join(r, "fid", "full").join(h, "fid", "left").na.fill(0)
+    return history.groupBy("fid").agg(last("follower_count").alias("followers"), last("following_count").alias("following"))
+
+
+def engagement(casts: DataFrame, reacts: DataFrame, history: DataFrame, members: DataFrame) -> DataFrame:
+    """Reactions against followers, influence, reach and the balance of creating and consuming.
+
+    Live posts, live reactions given, the newest counters and live channel memberships (fid, deleted_at); each
+    input is one row per account before they meet.
+    """
+    c = casts.where("deleted_at IS NULL").groupBy("fid").agg(F.count(F.lit(1)).alias("casts"))
+    r = reacts.where("deleted_at IS NULL").groupBy("fid").agg(F.count(F.lit(1)).alias("reacts"), F.count_distinct("target_fid").alias("reach"))
+    m = members.where("deleted_at IS NULL AND fid IS NOT NULL").groupBy("fid").agg(F.count(F.lit(1)).alias("member"))
+    # the scatter of all accounts' totals, a scalar
+    all_ = scalars(r.agg(sdiv(F.stddev_samp("reacts"), F.avg("reacts") + 1).alias("v")))("v")
+    j = c.join(r, "fid", "full").join(_last_followers(history), "fid", "left").join(m, "fid", "left")
+    reacted = F.col("reacts").isNotNull()
+    j = j.withColumn("consistency", F.when(reacted, all_)).na.fill(0)
     return finish(
         j.select(
             "fid",
             sdiv("reacts", F.col("followers") + 1).alias("engagement_rate"),
             sdiv("reach", F.col("followers") + 1).alias("audience_reach"),
+            F.col("consistency").alias("engagement_consistency"),
+            F.col("reach").alias("reach_metrics"),
+            sdiv("reacts", "casts").alias("engagement_impact"),
             sdiv(0.4 * F.col("followers") + 0.3 * F.col("reacts") + 0.3 * F.col("casts"), F.col("following") + 1).alias("influence_score"),
-            sdiv(F.col("casts") + F.col("reacts"), 2).alias("engagement_score"),
+            sdiv(F.col("casts") + F.col("reacts") + F.col("member"), 3).alias("engagement_score"),
             sdiv("casts", F.col("reacts") + 1).alias("creation_consumption_ratio"),
+            sdiv("reach", F.col("reacts") + 1).alias("interaction_diversity"),
         )
     )
 
 
-def received(reacts: DataFrame, casts: DataFrame) -> DataFrame:
-    """Reactions received per post: virality and retention of an account's audience."""
+def received(reacts: DataFrame, casts: DataFrame, history: DataFrame) -> DataFrame:
+    """Live reactions an account receives against its live posts: virality, influence, retention and their composite.
+
+    Engagement quality weighs reactions by the share of the greatest number of reactors, which for one account
+    is 1; sustainability is 1 from two posts on, as an account has one total, and undefined (0) for one post.
+    """
     pairs = reacts.where("deleted_at IS NULL AND target_fid IS NOT NULL").groupBy("target_fid", "fid").agg(F.count(F.lit(1)).alias("n"))
-    got = pairs.groupBy(F.col("target_fid").alias("fid")).agg(F.sum("n").alias("reactions_received"), F.count(F.lit(1)).alias("unique_reactors"), F.count(F.when(F.col("n") > 1, 1)).alias("returning"))
-    c = casts.groupBy("fid").agg(F.count(F.lit(1)).alias("casts"))
-    j = c.join(got, "fid", "left").na.fill(0)
-    return finish(
-        j.select(
-            "fid",
-            "reactions_received",
-            "unique_reactors",
-            sdiv("reactions_received", "casts").alias("influence_per_cast"),
-            sdiv("unique_reactors", "casts").alias("content_virality"),
-            sdiv("returning", "unique_reactors").alias("audience_retention"),
-        )
+    got = pairs.groupBy(F.col("target_fid").alias("fid")).agg(F.sum("n").alias("reactions_received"), F.count(F.lit(1)).alias("unique_reactors"))
+    c = casts.where("deleted_at IS NULL").groupBy("fid").agg(F.count(F.lit(1)).alias("casts"))
+    j = c.join(got, "fid", "left").na.fill(0).join(_last_followers(history), "fid", "left")
+    n, u = F.col("reactions_received"), F.col("unique_reactors")
+    x = j.select(
+        "fid",
+        "reactions_received",
+        "unique_reactors",
+        sdiv(n, "casts").alias("content_virality"),
+        sdiv(u, "casts").alias("influence_per_cast"),
+        F.when(u > 0, sdiv(n, "casts")).alias("weighted_engagement_quality"),
+        F.when(F.col("casts") > 1, F.lit(1.0)).alias("content_sustainability"),
+        sdiv(u, F.col("followers") + 1).alias("audience_retention"),
     )
+    parts = 0.3 * F.col("content_virality") + 0.3 * F.col("weighted_engagement_quality") + 0.2 * F.col("content_sustainability") + 0.2 * F.coalesce("audience_retention", F.lit(0.0))
+    return finish(x.withColumn("content_effectiveness", parts))
 
 
 def power_interactions(casts: DataFrame, reacts: DataFrame, power: DataFrame) -> DataFrame:

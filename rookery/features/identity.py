@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.features.common import finish
 from rookery.features.gaps import with_gaps
-from rookery.functions.safe import clip, count_if, sdiv
+from rookery.functions.safe import clip, count_if, nunique, sdiv
 from rookery.functions.text import address_list, char_diversity, has
 
 _FLAGS = ("random_numbers", "wallet_pattern", "excessive_symbols", "airdrop_terms", "has_year")
@@ -39,16 +39,19 @@ def profile_authenticity(p: DataFrame) -> DataFrame:
 
 
 def verification(verifications: DataFrame) -> DataFrame:
-    """Live verifications per account: number, kinds, pace and span."""
+    """Live verifications per account (claim is JSON, platform the kind of account): number, kinds, pace and span."""
     g = with_gaps(verifications.where("deleted_at IS NULL"), "fid", "timestamp", "id")
     a = g.groupBy("fid").agg(
         F.count(F.lit(1)).alias("total_verifications"),
-        count_if(F.col("claim").contains("URGENT")).alias("eth_verifications"),
+        count_if(F.col("claim").contains("ethSignature")).alias("eth_verifications"),
         F.avg("gap_h").alias("avg_hours_between_verifications"),
         F.stddev_samp("gap_h").alias("verification_timing_std"),
         count_if(F.col("gap_h") < 1).alias("sequential_verifications"),
         count_if(F.col("gap_h") > 24).alias("verification_gaps"),
         F.count_distinct("platform").alias("platforms_verified"),
+        F.count_distinct("platform").alias("platform_diversity"),
+        F.count("platform").alias("verification_velocity"),
+        nunique("claim").alias("claim_kinds"),
         F.timestamp_diff("DAY", F.min("timestamp"), F.max("timestamp")).alias("verification_span_days"),
     )
     a = a.withColumn("verification_consistency", sdiv("verification_timing_std", F.col("avg_hours_between_verifications") + 1))
@@ -56,8 +59,8 @@ def verification(verifications: DataFrame) -> DataFrame:
 
 
 def trust(v: DataFrame) -> DataFrame:
-    """Trust measures from the number of verifications and platforms (the result of :func:`verification`)."""
-    c, p = F.col("total_verifications").cast("double"), F.col("platforms_verified").cast("double")
+    """Trust measures from the number of verifications and kinds of claim (the result of :func:`verification`)."""
+    c, p = F.col("total_verifications").cast("double"), F.col("claim_kinds").cast("double")
     return finish(
         v.select(
             "fid",
@@ -94,6 +97,6 @@ def identity_scores(p: DataFrame, v: DataFrame) -> DataFrame:
         j.select(
             "fid",
             (0.4 * z("profile_completeness") + 0.3 * z("verification_consistency") + 0.3 * z("platforms_verified") / 5).alias("identity_strength"),
-            (0.4 * z("platforms_verified") + 0.3 * z("verification_consistency") + 0.3 * F.coalesce(sdiv("eth_verifications", "total_verifications"), F.lit(0.0))).alias("verification_quality"),
+            (0.4 * z("platform_diversity") + 0.3 * z("verification_consistency") + 0.3 * F.coalesce(sdiv("eth_verifications", "total_verifications"), F.lit(0.0))).alias("verification_quality"),
         )
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.features.common import finish
 from rookery.features.gaps import with_gaps
-from rookery.functions.safe import clip, count_if, scalars, sdiv
+from rookery.functions.safe import clip, count_if, nunique, scalars, sdiv
 
 
 def degrees(edges: DataFrame, src: str = "fid", dst: str = "target_fid") -> DataFrame:
@@ -81,6 +81,10 @@ def following(follows: DataFrame) -> DataFrame:
         "growth_stability",
         "avg_follow_latency_seconds",
         sdiv(u, n).alias("network_density"),
+        sdiv(u, n).alias("community_embedding"),
+        u.alias("network_reach"),
+        u.alias("network_diversity"),
+        F.col("growth_stability").alias("network_volatility"),
         (n + u).alias("network_centrality"),
         sdiv("deleted", "total_follows").alias("network_churn_rate"),
         (1 - sdiv("deleted", "total_follows")).alias("follower_retention"),
@@ -117,6 +121,8 @@ def counters(history: DataFrame) -> DataFrame:
             "follower_count",
             g.alias("following_count"),
             sdiv(f - F.col("f0"), "f0").alias("follower_growth_rate"),
+            sdiv(f - F.col("f0"), "f0").alias("growth_trajectory"),
+            sdiv(f, g + 1).alias("network_quality"),
             sdiv(g - F.col("g0"), "g0").alias("following_growth_rate"),
             (F.col("sf") + F.col("sg")).alias("network_growth_rate"),
             sdiv(f, g + 1).alias("influence_score"),
@@ -148,6 +154,17 @@ def ratios(d: DataFrame, cap: float = 0.99) -> DataFrame:
     )
 
 
+def velocity(follows: DataFrame, cap: float = 0.99) -> DataFrame:
+    """Log and capped pace of following, from (fid, follow_velocity) of :func:`following`; the cap is a percentile over all accounts."""
+    top = scalars(follows.agg(F.percentile("follow_velocity", F.lit(cap)).alias("c")))("c")
+    return finish(follows.select("fid", F.log1p("follow_velocity").alias("follow_velocity_log"), F.greatest(F.least("follow_velocity", top), F.lit(0.0)).alias("follow_velocity_capped")))
+
+
+def link_diversity(reacts: DataFrame) -> DataFrame:
+    """Distinct URLs an account's live reactions (fid, target_url, deleted_at) point to; no URL counts as one."""
+    return finish(reacts.where("deleted_at IS NULL AND fid IS NOT NULL").groupBy("fid").agg(nunique("target_url").alias("target_url_diversity")))
+
+
 def blocking(blocks: DataFrame) -> DataFrame:
     """Blocks an account made, of how many accounts, and how often repeatedly."""
     a = blocks.where("blocker_fid IS NOT NULL").groupBy(F.col("blocker_fid").alias("fid")).agg(F.count(F.lit(1)).alias("blocks_made"), F.count_distinct("blocked_fid").alias("unique_blocks"))

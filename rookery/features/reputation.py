@@ -35,13 +35,15 @@ def activity_reputation(activity: DataFrame, responses: Sequence[str] = ("respon
         F.avg(F.when(F.col("activity_type").isin(*collaboration), F.col("impact_score"))).alias("collaboration_score"),
         count_if(F.col("impact_score") < 0).alias("negative"),
     )
-    kinds = base.where("activity_type IS NOT NULL").groupBy("fid", "activity_type").agg(F.count(F.lit(1)).alias("k"))
-    k = kinds.groupBy("fid").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("typed"), F.stddev_samp("k").alias("k_sd"), F.avg("k").alias("k_mean"), count_if(F.col("k") == 1).alias("rare"), (F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("k_row_mean"))
+    kinds = base.where("activity_type IS NOT NULL").groupBy("fid", "activity_type").agg(F.count(F.lit(1)).alias("k"), F.sum("impact_score").alias("impact"))
+    k = kinds.groupBy("fid").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("typed"), F.stddev_samp("k").alias("k_sd"), F.avg("k").alias("k_mean"), count_if(F.col("k") == 1).alias("rare"), (F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("k_row_mean"), F.sum(F.col("k") * F.col("impact")).alias("weighted"))
     x = a.join(k, "fid", "left")
     return finish(
         x.select(
             "fid",
             "peer_reputation",
+            F.col("peer_reputation").alias("participation_quality"),
+            sdiv("weighted", "n").alias("contribution_score"),
             sdiv("above", "n").alias("authority_score"),
             sdiv("sd", "peer_reputation").alias("community_standing"),
             sdiv("sd", "peer_reputation").alias("activity_authenticity"),

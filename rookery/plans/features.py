@@ -119,7 +119,7 @@ def authenticity_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VERIFY = V.with_views("v", "SELECT fid, "
-    + whole(total_verifications="count(*)", eth_verifications="count(*) FILTER (claim LIKE '%URGENT%')", sequential_verifications="count(*) FILTER (gap_h < 1)", verification_gaps="count(*) FILTER (gap_h > 24)", platforms_verified="count(DISTINCT platform)", verification_span_days="date_sub('day', min(timestamp), max(timestamp))")
+    + whole(total_verifications="count(*)", eth_verifications="count(*) FILTER (contains(claim, 'ethSignature'))", sequential_verifications="count(*) FILTER (gap_h < 1)", verification_gaps="count(*) FILTER (gap_h > 24)", platforms_verified="count(DISTINCT platform)", platform_diversity="count(DISTINCT platform)", verification_velocity="count(platform)", claim_kinds="count(DISTINCT claim)", verification_span_days="date_sub('day', min(timestamp), max(timestamp))")
     + ", " + rounded(avg_hours_between_verifications="avg(gap_h)", verification_timing_std="stddev_samp(gap_h)", verification_consistency="stddev_samp(gap_h) / (avg(gap_h) + 1)") + " FROM g GROUP BY fid", _gaps("v", "deleted_at IS NULL"))
 
 
@@ -128,7 +128,7 @@ def verification_metrics(spark: SparkSession, d: str) -> DataFrame:
     return identity.verification(V.verifications(spark, d))
 
 
-_C, _P = "total_verifications::DOUBLE", "platforms_verified::DOUBLE"
+_C, _P = "total_verifications::DOUBLE", "claim_kinds::DOUBLE"
 
 
 @R.add(f"WITH z AS ({_VERIFY}) SELECT fid, " + rounded(verification_strength=f"{_C} * {_P}", identity_confidence=f"{_P} / 10", spam_resistance=f"1 - 1 / ({_C} + 1)", abuse_likelihood=f"greatest(least(1 - {_P} / {_C}, 1), 0)", credibility_score=f"{_P} / {_C}", reliability_index=f"greatest(least({_C} * {_P} / 100, 1), 0)") + " FROM z")
@@ -148,15 +148,15 @@ def storage_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(f"WITH p1 AS ({_profile_sql()}), v1 AS ({_VERIFY}) SELECT fid, "
-    + rounded(identity_strength="0.4 * profile_completeness + 0.3 * coalesce(verification_consistency, 0) + 0.3 * coalesce(platforms_verified, 0) / 5", verification_quality="0.4 * coalesce(platforms_verified, 0) + 0.3 * coalesce(verification_consistency, 0) + 0.3 * coalesce(eth_verifications / total_verifications, 0)")
+    + rounded(identity_strength="0.4 * profile_completeness + 0.3 * coalesce(verification_consistency, 0) + 0.3 * coalesce(platforms_verified, 0) / 5", verification_quality="0.4 * coalesce(platform_diversity, 0) + 0.3 * coalesce(verification_consistency, 0) + 0.3 * coalesce(eth_verifications / total_verifications, 0)")
     + " FROM p1 LEFT JOIN v1 USING (fid)")
 def identity_derived(spark: SparkSession, d: str) -> DataFrame:
     return identity.identity_scores(identity.profile(V.profiles(spark, d)), identity.verification(V.verifications(spark, d)))
 
 
 @R.add(V.with_views("f", "SELECT k.fid, "
-    + whole(following_count="a.n", unique_following="a.u", total_follows="k.n", stable_connections="k.stable", network_age_hours="a.age", network_centrality="a.n + a.u")
-    + ", " + rounded(follow_ratio="a.n / (a.u + 1)", follow_velocity="a.n / nullif(a.mean_gap, 0)", follow_rate_per_hour="k.n / (a.age + 1)", growth_stability="a.sd", avg_follow_latency_seconds="a.latency", network_density="a.u / nullif(a.n, 0)", network_churn_rate="k.gone / k.n", follower_retention="1 - k.gone / k.n")
+    + whole(following_count="a.n", unique_following="a.u", total_follows="k.n", stable_connections="k.stable", network_age_hours="a.age", network_centrality="a.n + a.u", network_reach="a.u", network_diversity="a.u")
+    + ", " + rounded(follow_ratio="a.n / (a.u + 1)", follow_velocity="a.n / nullif(a.mean_gap, 0)", follow_rate_per_hour="k.n / (a.age + 1)", growth_stability="a.sd", avg_follow_latency_seconds="a.latency", network_density="a.u / nullif(a.n, 0)", community_embedding="a.u / nullif(a.n, 0)", network_volatility="a.sd", network_churn_rate="k.gone / k.n", follower_retention="1 - k.gone / k.n")
     + " FROM k LEFT JOIN a USING (fid)", _gaps("f", "deleted_at IS NULL", "target_fid")
     + ", a AS (SELECT fid, count(target_fid) AS n, count(DISTINCT target_fid) AS u, date_sub('hour', min(timestamp), max(timestamp)) AS age, avg(gap_h) AS mean_gap, stddev_samp(gap_h) AS sd, avg(date_sub('second', timestamp, created_at)) AS latency FROM g GROUP BY fid)"
     + ", k AS (SELECT fid, count(*) AS n, count(deleted_at) AS gone, count(*) FILTER (date_sub('day', created_at, coalesce(deleted_at, timestamp)) > 30) AS stable FROM f GROUP BY fid)"))
@@ -164,6 +164,17 @@ def network_basic(spark: SparkSession, d: str) -> DataFrame:
     return network.following(V.follows(spark, d))
 
 
+@R.add("WITH n AS (" + R.oracle["network_basic"] + ") SELECT fid, " + rounded(follow_velocity_log="ln(1 + follow_velocity)", follow_velocity_capped="greatest(least(follow_velocity, (SELECT quantile_cont(follow_velocity, 0.99) FROM n)), 0)") + " FROM n")
+def follow_velocity(spark: SparkSession, d: str) -> DataFrame:
+    return network.velocity(network_basic(spark, d))
+
+
+@R.add(V.with_views("c", "SELECT fid, count(DISTINCT parent_url) + max((parent_url IS NULL)::INT) AS target_url_diversity FROM c WHERE deleted_at IS NULL GROUP BY fid"))
+def link_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """Posts into channels stand in for reactions to URLs."""
+    return network.link_diversity(V.casts(spark, d, ["fid", "parent_url", "deleted_at"]).withColumnRenamed("parent_url", "target_url"))
+
+
 _DEG = "dg AS (SELECT fid, coalesce(o.n, 0) AS out_degree, coalesce(o.u, 0) AS unique_out_degree, coalesce(i.n, 0) AS in_degree, coalesce(i.u, 0) AS unique_in_degree FROM (SELECT fid, count(*) AS n, count(DISTINCT target_fid) AS u FROM lf GROUP BY 1) o FULL JOIN (SELECT target_fid AS fid, count(*) AS n, count(DISTINCT fid) AS u FROM lf GROUP BY 1) i USING (fid))"
 _LF = "lf AS (SELECT * FROM f WHERE deleted_at IS NULL)"
 
@@ -194,7 +205,7 @@ _LASTF, _LASTG = f"arg_max(follower_count, {_O}) FILTER (follower_count IS NOT N
 
 
 @R.add(V.with_views("fc", "SELECT fid, " + whole(follower_count="f", following_count="g") + ", "
-    + rounded(follower_growth_rate="(f - f0) / nullif(f0, 0)", following_growth_rate="(g - g0) / nullif(g0, 0)", network_growth_rate="sf + sg", influence_score="f / (g + 1)", activity_score="f / nullif(f0, 0)", counter_centrality="(f + g) / nullif(fm, 0)", relationship_health="1 - abs(f - g) / (f + g + 1)", sustainability_index="1 - sf / nullif(mf, 0)")
+    + rounded(follower_growth_rate="(f - f0) / nullif(f0, 0)", growth_trajectory="(f - f0) / nullif(f0, 0)", network_quality="f / (g + 1)", following_growth_rate="(g - g0) / nullif(g0, 0)", network_growth_rate="sf + sg", influence_score="f / (g + 1)", activity_score="f / nullif(f0, 0)", counter_centrality="(f + g) / nullif(fm, 0)", relationship_health="1 - abs(f - g) / (f + g + 1)", sustainability_index="1 - sf / nullif(mf, 0)")
     + " FROM a", "s AS (SELECT *, follower_count - lag(follower_count) OVER w AS df, following_count - lag(following_count) OVER w AS dg FROM fc WINDOW w AS (PARTITION BY fid ORDER BY created_at NULLS FIRST, export_ts NULLS FIRST, follower_count NULLS FIRST, following_count NULLS FIRST))"
     + f", a AS (SELECT fid, {_LASTF} AS f, {_LASTG} AS g, {_LASTF.replace('arg_max', 'arg_min')} AS f0, {_LASTG.replace('arg_max', 'arg_min')} AS g0, max(follower_count) AS fm, stddev_samp(df) AS sf, stddev_samp(dg) AS sg, avg(df) AS mf FROM s GROUP BY fid)"))
 def first_last_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -216,11 +227,12 @@ def influence_of_targets(spark: SparkSession, d: str) -> DataFrame:
 _SPLIT = "string_split(text, ' ')"
 
 
-@R.add(V.with_views("c", "SELECT fid, " + whole(cast_count="count(*)", reply_count="count(parent_hash)", mention_count="count(*) FILTER (regexp_matches(text, '@[A-Za-z0-9_]+'))") + ", "
-    + rounded(avg_cast_length="avg(length(text))", link_usage_rate="sum(len(regexp_extract_all(text, 'https?://'))) / count(*)", content_type_diversity=f"avg(len(list_distinct({_SPLIT})) / (len({_SPLIT}) + 1))", content_complexity=f"avg(list_sum(list_transform({_SPLIT}, lambda x: length(x))) / len({_SPLIT}) * len(string_split(text, '.')))", vocabulary_richness=f"avg(len(list_distinct({_SPLIT})))", hashtag_usage="avg(len(regexp_extract_all(text, 'https?://')))", content_originality="count(DISTINCT text) / nullif(count(text), 0)", content_uniqueness="count(DISTINCT text) / count(*)")
-    + " FROM c GROUP BY fid"))
+@R.add(V.with_views("c", "SELECT fid, " + whole(cast_count="count(text)", reply_count="count(*) FILTER (parent_hash IS NOT NULL AND text IS NOT NULL)", mention_count="count(*) FILTER (regexp_matches(text, '@[A-Za-z0-9_]+'))") + ", "
+    + rounded(avg_cast_length="avg(length(text))", link_usage_rate="sum(len(regexp_extract_all(text, 'https?://'))) / nullif(count(text), 0)", content_type_diversity=f"avg(len(list_distinct({_SPLIT})) / (len({_SPLIT}) + 1))", content_complexity=f"avg(list_sum(list_transform({_SPLIT}, lambda x: length(x))) / len({_SPLIT}) * len(string_split(text, '.')))", vocabulary_richness=f"avg(coalesce(len(list_distinct({_SPLIT})), 0))", hashtag_usage="avg(len(regexp_extract_all(text, 'https?://')))",
+        content_originality="(count(DISTINCT text) + max((text IS NULL)::INT)) / nullif(count(text), 0)", content_uniqueness="(count(DISTINCT text) + max((text IS NULL)::INT)) / count(*)")
+    + " FROM c WHERE deleted_at IS NULL GROUP BY fid"))
 def content_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return content.texts(V.casts(spark, d, ["fid", "text", "parent_hash"]))
+    return content.texts(V.casts(spark, d, ["fid", "text", "parent_hash", "deleted_at"]))
 
 
 _JL = "CASE WHEN json_valid(mentions) THEN coalesce(json_array_length(mentions)::BIGINT, 0) ELSE 0 END"
@@ -228,9 +240,9 @@ _FLAG = lambda p: f"avg(coalesce(regexp_matches(text, '{p}'), false)::INT)"  # n
 
 
 @R.add(V.with_views("c", "SELECT fid, " + whole(total_mentions=f"sum({_JL})", casts_with_mentions=f"count(*) FILTER ({_JL} > 0)") + ", "
-    + rounded(avg_mentions_per_cast=f"avg({_JL})", emoji_spam_ratio=_FLAG(r"[\x{1F300}-\x{1F9FF}]{5,}"), price_mention_ratio=_FLAG(r"\$[0-9]+|[0-9]+\$"), symbol_spam_ratio=_FLAG("[!$@#%]{2,}"), airdrop_term_ratio=_FLAG(_RE["airdrop_terms"]), mention_frequency=f"count(*) FILTER ({_JL} > 0) / count(*)") + " FROM c GROUP BY fid"))
+    + rounded(avg_mentions_per_cast=f"avg({_JL})", emoji_spam_ratio=_FLAG(r"[\x{1F300}-\x{1F9FF}]{5,}"), price_mention_ratio=_FLAG(r"\$[0-9]+|[0-9]+\$"), symbol_spam_ratio=_FLAG(_RE["excessive_symbols"]), airdrop_term_ratio=_FLAG(_RE["airdrop_terms"]), mention_frequency=f"count(*) FILTER ({_JL} > 0) / count(*)") + " FROM c WHERE deleted_at IS NULL AND text IS NOT NULL GROUP BY fid"))
 def mention_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return content.mentions(V.casts(spark, d, ["fid", "text", "mentions"]))
+    return content.mentions(V.casts(spark, d, ["fid", "text", "mentions", "deleted_at"]))
 
 
 _WW = lambda t: r"\b(" + "|".join(t) + r")\b"
@@ -273,17 +285,21 @@ def reaction_patterns(spark: SparkSession, d: str) -> DataFrame:
     return content.reactions(V.reactions(spark, d))
 
 
-@R.add(V.with_views("c r fc", "SELECT fid, " + rounded(engagement_rate="rn / (fo + 1)", audience_reach="ru / (fo + 1)", influence_score="(0.4 * fo + 0.3 * rn + 0.3 * cn) / (g + 1)", engagement_score="(cn + rn) / 2", creation_consumption_ratio="cn / (rn + 1)")
-    + " FROM (SELECT fid, coalesce(a.n, 0) AS cn, coalesce(b.n, 0) AS rn, coalesce(b.u, 0) AS ru, coalesce(h.f, 0) AS fo, coalesce(h.g, 0) AS g FROM (SELECT fid, count(*) AS n FROM c GROUP BY 1) a FULL JOIN (SELECT fid, count(*) AS n, count(DISTINCT target_fid) AS u FROM r WHERE deleted_at IS NULL GROUP BY 1) b USING (fid) LEFT JOIN h USING (fid))",
-    f"h AS (SELECT fid, {_LASTF} AS f, {_LASTG} AS g FROM fc GROUP BY fid)"))
+_H = f"h AS (SELECT fid, {_LASTF} AS f, {_LASTG} AS g FROM fc GROUP BY fid)"
+_LIVE_R = "lr AS (SELECT fid, count(*) AS n, count(DISTINCT target_fid) AS u FROM r WHERE deleted_at IS NULL GROUP BY 1)"
+
+
+@R.add(V.with_views("c r fc", "SELECT fid, " + whole(reach_metrics="ru") + ", " + rounded(engagement_rate="rn / (fo + 1)", audience_reach="ru / (fo + 1)", engagement_consistency="CASE WHEN reacted THEN (SELECT stddev_samp(n) / (avg(n) + 1) FROM lr) END", engagement_impact="rn / nullif(cn, 0)", influence_score="(0.4 * fo + 0.3 * rn + 0.3 * cn) / (g + 1)", engagement_score="(cn + rn + mn) / 3", creation_consumption_ratio="cn / (rn + 1)", interaction_diversity="ru / (rn + 1)")
+    + " FROM (SELECT fid, b.n IS NOT NULL AS reacted, coalesce(a.n, 0) AS cn, coalesce(b.n, 0) AS rn, coalesce(b.u, 0) AS ru, coalesce(h.f, 0) AS fo, coalesce(h.g, 0) AS g, coalesce(m.n, 0) AS mn FROM (SELECT fid, count(*) AS n FROM c WHERE deleted_at IS NULL GROUP BY 1) a FULL JOIN lr b USING (fid) LEFT JOIN h USING (fid) LEFT JOIN (SELECT fid, count(*) AS n FROM c WHERE deleted_at IS NULL AND parent_url IS NOT NULL AND parent_hash IS NULL GROUP BY 1) m USING (fid))",
+    _H + ", " + _LIVE_R))
 def engagement_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return content.engagement(V.casts(spark, d, ["fid"]), V.reactions(spark, d), V.follow_counts(spark, d))
+    return content.engagement(V.casts(spark, d, ["fid", "deleted_at"]), V.reactions(spark, d), V.follow_counts(spark, d), V.memberships(spark, d))
 
 
-@R.add(V.with_views("c r", "SELECT a.fid, coalesce(g.n, 0)::BIGINT AS reactions_received, coalesce(g.u, 0)::BIGINT AS unique_reactors, " + rounded(influence_per_cast="coalesce(g.n, 0) / a.n", content_virality="coalesce(g.u, 0) / a.n", audience_retention="g.back / nullif(g.u, 0)")
-    + " FROM (SELECT fid, count(*) AS n FROM c GROUP BY 1) a LEFT JOIN (SELECT target_fid AS fid, sum(k) AS n, count(*) AS u, count(*) FILTER (k > 1) AS back FROM (SELECT target_fid, fid, count(*) AS k FROM r WHERE deleted_at IS NULL AND target_fid IS NOT NULL GROUP BY 1, 2) GROUP BY 1) g USING (fid)"))
+@R.add(V.with_views("c r fc", "SELECT fid, " + whole(reactions_received="n", unique_reactors="u") + ", " + rounded(content_virality="v", influence_per_cast="u / k", weighted_engagement_quality="q", content_sustainability="s", audience_retention="w", content_effectiveness="0.3 * v + 0.3 * q + 0.2 * s + 0.2 * coalesce(w, 0)")
+    + " FROM (SELECT *, n / k AS v, CASE WHEN u > 0 THEN n * u / (k * u) END AS q, CASE WHEN k > 1 THEN 1.0::DOUBLE END AS s, u / (f + 1) AS w FROM (SELECT a.fid, a.n AS k, coalesce(g.n, 0)::BIGINT AS n, coalesce(g.u, 0)::BIGINT AS u, h.f FROM (SELECT fid, count(*) AS n FROM c WHERE deleted_at IS NULL GROUP BY 1) a LEFT JOIN (SELECT target_fid AS fid, count(*) AS n, count(DISTINCT fid) AS u FROM r WHERE deleted_at IS NULL AND target_fid IS NOT NULL GROUP BY 1) g USING (fid) LEFT JOIN h USING (fid)))", _H))
 def reactions_received(spark: SparkSession, d: str) -> DataFrame:
-    return content.received(V.reactions(spark, d), V.casts(spark, d, ["fid"]))
+    return content.received(V.reactions(spark, d), V.casts(spark, d, ["fid", "deleted_at"]), V.follow_counts(spark, d))
 
 
 _POWER = "pw AS (SELECT fid FROM fc GROUP BY fid HAVING max(follower_count) >= 100)"
@@ -302,9 +318,9 @@ def power_user_interaction(spark: SparkSession, d: str) -> DataFrame:
 _ACT = "ac AS (SELECT user_id AS fid, event_id AS id, event_type AS activity_type, ts AS timestamp, value AS impact_score, avg(value) OVER (PARTITION BY user_id) AS mean FROM events)"
 
 
-@R.add("WITH " + _ACT + ", " + _gaps("ac") + ", k AS (SELECT fid, count(*) AS kinds, sum(k) AS typed, stddev_samp(k) AS k_sd, avg(k) AS k_mean, count(*) FILTER (k = 1) AS rare, sum(k * k) / sum(k) AS krm FROM (SELECT fid, activity_type, count(*) AS k FROM ac GROUP BY ALL) GROUP BY fid) SELECT a.* EXCLUDE (m), "
-    + rounded(adaptability_score="kinds / typed", communication_style="k_sd / nullif(k_mean, 0)", innovation_index="rare / kinds", potential_score="m * krm")
-    + " FROM (SELECT fid, max(mean) AS m, " + rounded(peer_reputation="max(mean)", authority_score="count(*) FILTER (impact_score > mean) / count(*)", community_standing="stddev_samp(impact_score) / nullif(max(mean), 0)", activity_authenticity="stddev_samp(impact_score) / nullif(max(mean), 0)", behavior_consistency="stddev_samp(gap_h) / nullif(avg(gap_h), 0)", pattern_reliability="stddev_samp(gap_h) FILTER (impact_score > mean)", response_quality="avg(impact_score) FILTER (activity_type = 'click')", collaboration_score="avg(impact_score) FILTER (activity_type IN ('click', 'view'))", value_generation="avg(impact_score) FILTER (impact_score > mean)", resilience_metric="1 - count(*) FILTER (impact_score < 0) / count(*)") + " FROM g GROUP BY fid) a JOIN k USING (fid)")
+@R.add("WITH " + _ACT + ", " + _gaps("ac") + ", k AS (SELECT fid, count(*) AS kinds, sum(k) AS typed, stddev_samp(k) AS k_sd, avg(k) AS k_mean, count(*) FILTER (k = 1) AS rare, sum(k * k) / sum(k) AS krm, sum(k * v) AS kv FROM (SELECT fid, activity_type, count(*) AS k, sum(impact_score) AS v FROM ac GROUP BY ALL) GROUP BY fid) SELECT a.* EXCLUDE (m), "
+    + rounded(adaptability_score="kinds / typed", communication_style="k_sd / nullif(k_mean, 0)", innovation_index="rare / kinds", potential_score="m * krm", contribution_score="kv / typed")
+    + " FROM (SELECT fid, max(mean) AS m, " + rounded(peer_reputation="max(mean)", participation_quality="max(mean)", authority_score="count(*) FILTER (impact_score > mean) / count(*)", community_standing="stddev_samp(impact_score) / nullif(max(mean), 0)", activity_authenticity="stddev_samp(impact_score) / nullif(max(mean), 0)", behavior_consistency="stddev_samp(gap_h) / nullif(avg(gap_h), 0)", pattern_reliability="stddev_samp(gap_h) FILTER (impact_score > mean)", response_quality="avg(impact_score) FILTER (activity_type = 'click')", collaboration_score="avg(impact_score) FILTER (activity_type IN ('click', 'view'))", value_generation="avg(impact_score) FILTER (impact_score > mean)", resilience_metric="1 - count(*) FILTER (impact_score < 0) / count(*)") + " FROM g GROUP BY fid) a JOIN k USING (fid)")
 def activity_reputation(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("fid"), F.col("event_id").alias("id"), F.col("event_type").alias("activity_type"), F.col("ts").alias("timestamp"), F.col("value").alias("impact_score"))
     return reputation.activity_reputation(e, responses=["click"], collaboration=["click", "view"])
@@ -349,10 +365,9 @@ def score_divergence(spark: SparkSession, d: str) -> DataFrame:
     return reputation.score_divergence(_history(spark, d), _authentic(spark, d))
 
 
-@R.add(V.with_views("p", "SELECT fid, coalesce(max((avatar_url IS NOT NULL)::INT) + max((bio IS NOT NULL)::INT), 0)::BIGINT AS additional_profile_fields, 0::BIGINT AS profile_age_hours, coalesce(max((bio IS NOT NULL)::INT), 0)::BIGINT AS has_location_info FROM p GROUP BY fid"))
+@R.add("SELECT fid, coalesce(max((avatar_url IS NOT NULL)::INT) + max((bio IS NOT NULL)::INT), 0)::BIGINT AS additional_profile_fields, ((max(export_ts) - min(export_ts)) // 3600)::BIGINT AS profile_age_hours, coalesce(max((bio IS NOT NULL)::INT), 0)::BIGINT AS has_location_info FROM profile_with_addresses WHERE fid IS NOT NULL GROUP BY fid")
 def profile_details(spark: SparkSession, d: str) -> DataFrame:
-    p = V.profiles(spark, d).select("fid", F.col("avatar_url").alias("url"), F.col("bio").alias("location"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return reputation.profile_details(p)
+    return reputation.profile_details(V.profile_versions(spark, d))
 
 
 @R.add(V.with_views("c", "SELECT fid, " + whole(unique_channels_followed="a.u", rapid_channel_follows="a.r", channel_memberships="m.n", unique_channel_memberships="m.u") + ", " + rounded(channel_follow_hour_std="h.sd", channel_follow_burst_ratio="coalesce(a.r, 0) / (coalesce(a.u, 0) + 1)", channel_engagement_ratio="coalesce(m.n, 0) / (coalesce(m.u, 0) + 1)")
@@ -363,11 +378,14 @@ def channels_followed(spark: SparkSession, d: str) -> DataFrame:
     return reputation.channels_followed(c, c.where("parent_hash IS NULL"))
 
 
-@R.add(V.with_views("p", f"SELECT fid, max(s.score) AS score FROM (SELECT fid, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS a FROM (SELECT fid, CASE WHEN json_valid(verified_addresses) THEN list_distinct(list_filter(CAST(json_extract_string(verified_addresses, '$[*]') AS VARCHAR[]), lambda a: starts_with(a, '0x') AND length(a) = 42)) ELSE [] END AS a FROM p)) x LEFT JOIN (SELECT lower(o_orderstatus) AS k, max(o_totalprice) AS score FROM orders GROUP BY 1) s ON s.k = substr(x.a, 3, 1) GROUP BY fid"))
+_LIST = "CASE WHEN json_valid(verified_addresses) THEN list_distinct(list_filter(CAST(json_extract_string(verified_addresses, '$[*]') AS VARCHAR[]), lambda a: starts_with(a, '0x') AND length(a) = 42)) ELSE [] END"
+
+
+@R.add(V.with_views("p", f"SELECT fid, max(s.score) AS score FROM (SELECT fid, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS a FROM (SELECT fid, {_LIST} AS a FROM p)) x LEFT JOIN (SELECT substr(a, 3, 40) AS k, count(*)::DOUBLE AS score FROM (SELECT unnest({_LIST}) AS a FROM (SELECT DISTINCT * FROM profile_with_addresses WHERE fid IS NOT NULL)) GROUP BY 1) s ON s.k = substr(x.a, 3, 40) GROUP BY fid"))
 def address_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The score of an address is here that of the order status its first digit names."""
-    a = V.profiles(spark, d).select("fid", F.transform(address_list("verified_addresses"), lambda x: F.substring(x, 3, 1)).alias("addresses"))
-    return reputation.address_scores(a, table(spark, d, "orders").select(F.lower("o_orderstatus").alias("recipient"), F.col("o_totalprice").alias("score")))
+    """The score of an address is here the number of profile rows that list it."""
+    a = V.profiles(spark, d).select("fid", F.transform(address_list("verified_addresses"), lambda x: F.substring(x, 3, 40)).alias("addresses"))
+    return reputation.address_scores(a, V.attested_scores(spark, d))
 
 
 @R.add("SELECT fid, arg_max(fname, row(export_ts, fname)) AS fname FROM profile_with_addresses WHERE fid IS NOT NULL GROUP BY fid")

@@ -15,9 +15,9 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
 def records(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """One row per record of a table whose rows may be delivered again.
 
-    Copies agree in ``columns`` (delivery columns such as created_at are left out by the caller), so the
-    distinct runs over fixed-width keys with partial aggregation before the shuffle. Rows with a null id
-    cannot be told apart and are kept once per distinct content.
+    Copies agree in ``columns`` (delivery columns such as created_at are left out by the caller), so this is a
+    distinct over them, with partial aggregation before the shuffle; its cost is that of the columns asked for,
+    texts included. Rows with a null id cannot be told apart and are kept once per distinct content.
     """
     return df.select(id_col, *[c for c in columns if c != id_col]).distinct()
 

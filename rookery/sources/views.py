@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.functions.text import address_list
 from rookery.sources.tables import records, table
 
 _CAST = ["fid", "text", "timestamp", "deleted_at", "parent_url", "parent_hash", "parent_fid", "root_parent_hash", "embeds", "mentions"]
@@ -50,7 +51,7 @@ def verifications(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("fid"),
-        F.col("o_orderpriority").alias("claim"),
+        F.concat(F.lit('{"'), F.when(F.col("o_orderpriority").contains("URGENT"), "ethSignature").otherwise("signature"), F.lit('":"'), "o_orderpriority", F.lit('"}')).alias("claim"),
         F.substring("o_orderpriority", 1, 1).alias("platform"),
         F.col("o_orderdate").alias("timestamp"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"),
@@ -64,6 +65,25 @@ def storage(spark: SparkSession, d: str) -> DataFrame:
     return line.select(key.alias("id"), F.col("l_suppkey").alias("fid"), F.col("l_quantity").alias("units"), F.col("l_shipdate").alias("timestamp"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("deleted_at"))
 
 
+def memberships(spark: SparkSession, d: str) -> DataFrame:
+    """(fid, channel_id, deleted_at): posts that open a thread in a channel stand in for memberships."""
+    return casts(spark, d, ["fid", "parent_url", "parent_hash", "deleted_at"]).where("parent_url IS NOT NULL AND parent_hash IS NULL").select("id", "fid", F.col("parent_url").alias("channel_id"), "deleted_at")
+
+
+def profile_versions(spark: SparkSession, d: str) -> DataFrame:
+    """(fid, url, location, created_at, updated_at) of the profile in every export; an export's end dates its rows."""
+    p = table(spark, d, "profile_with_addresses").where("fid IS NOT NULL")
+    at = F.timestamp_seconds("export_ts").cast("timestamp_ntz")
+    return p.select("fid", F.col("avatar_url").alias("url"), F.col("bio").alias("location"), at.alias("created_at"), at.alias("updated_at")).distinct()
+
+
+def attested_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(recipient, score): an address without its 0x, and how many profile rows of all exports list it."""
+    p = table(spark, d, "profile_with_addresses").where("fid IS NOT NULL").distinct()
+    a = p.select(F.explode(address_list("verified_addresses")).alias("a"))
+    return a.groupBy(F.substring("a", 3, 40).alias("recipient")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type = 'error'")
     return e.select(F.col("user_id").alias("blocker_fid"), F.get_json_object("props", "$.k").cast("bigint").alias("blocked_fid"))
@@ -83,7 +103,7 @@ SQL = {
     "p": "SELECT DISTINCT fid, fname, bio, avatar_url, verified_addresses, display_name FROM profile_with_addresses WHERE export_ts = (SELECT max(export_ts) FROM profile_with_addresses) AND fid IS NOT NULL",
     "fc": "SELECT DISTINCT * FROM follow_counts WHERE fid IS NOT NULL",
     "sg": "SELECT DISTINCT * FROM signers WHERE fid IS NOT NULL",
-    "v": "SELECT o_orderkey AS id, o_custkey AS fid, o_orderpriority AS claim, substr(o_orderpriority, 1, 1) AS platform, o_orderdate AS timestamp, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders",
+    "v": "SELECT o_orderkey AS id, o_custkey AS fid, concat('{\"', CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'ethSignature' ELSE 'signature' END, '\":\"', o_orderpriority, '\"}') AS claim, substr(o_orderpriority, 1, 1) AS platform, o_orderdate AS timestamp, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders",
     "st": "SELECT row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_suppkey AS fid, l_quantity AS units, l_shipdate AS timestamp, CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS deleted_at FROM lineitem",
     "bl": "SELECT user_id AS blocker_fid, CAST(json_extract(props, '$.k') AS BIGINT) AS blocked_fid FROM events WHERE event_type = 'error'",
     "lb": "SELECT fid, max(following_count) > max(follower_count) AS bot FROM follow_counts WHERE export_ts = (SELECT max(export_ts) FROM follow_counts) AND fid IS NOT NULL AND follower_count IS NOT NULL AND following_count IS NOT NULL GROUP BY fid",
