@@ -11,6 +11,7 @@ its rank inside its bucket alone, so assignment is one narrow pass however many
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,26 +22,27 @@ from pyspark.sql import functions as F
 def bucket_boundaries(histogram: np.ndarray, buckets: int) -> list[int]:
     """Upper boundaries of at most ``buckets`` buckets that minimise the padding of ``histogram``.
 
-    ``histogram[s]`` is the number of items of size s. Classic O(buckets * capacity^2) dynamic programming,
-    each layer vectorised. Only sizes that occur become boundaries; the largest always does.
+    ``histogram[s]`` is the number of items of size s. Dynamic programming in O(buckets * capacity * log capacity)
+    time and O(buckets * capacity) memory. Only sizes that occur become boundaries; the largest always does.
     """
     sizes = np.flatnonzero(histogram)
     sizes = sizes[sizes > 0]
     if len(sizes) == 0:
         return []
     n = histogram[sizes].astype(float)
-    count, total = np.concatenate([[0.0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(n * sizes)])
     m = len(sizes)
-    # cost[i, j]: padding when sizes i..j (inclusive) share the boundary sizes[j]
-    cost = (count[1:][None, :] - count[:-1][:, None]) * sizes[None, :] - (total[1:][None, :] - total[:-1][:, None])
-    cost[np.tril_indices(m, -1)] = np.inf
-    best, back = cost[0].copy(), []
+    count, total = np.concatenate([[0.0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(n * sizes)])
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Padding when sizes i..j (inclusive) share the boundary sizes[j]."""
+        return (count[j + 1] - count[i]) * sizes[j] - (total[j + 1] - total[i])
+
+    at = np.arange(m)
+    best, back = cost(np.zeros(m, np.int64), at), []
     for _ in range(min(buckets, m) - 1):
-        via = best[:-1, None] + cost[1:, :]  # the last bucket begins at size i + 1
-        i = np.argmin(via, axis=0)
-        cand = via[i, np.arange(m)]
+        cand, via = _layer(best, cost, m)
         better = cand < best
-        back.append(np.where(better, i, -1))
+        back.append(np.where(better, via, -1).astype(np.int32))
         best = np.where(better, cand, best)
     out, j, layer = [], m - 1, len(back) - 1
     while True:
@@ -54,6 +56,33 @@ def bucket_boundaries(histogram: np.ndarray, buckets: int) -> list[int]:
     return sorted(out)
 
 
+def _layer(best: np.ndarray, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every j the least best[i] + cost(i + 1, j) over i < j, and its i; infinite and -1 for j = 0.
+
+    The best i never falls as j grows, so halving the range of j halves the ranges of i: all middles of one
+    depth are settled side by side, in O(m log m) time and O(m) memory.
+    """
+    value, arg = np.full(m, np.inf), np.full(m, -1, np.int64)
+    lo, hi = np.array([1]), np.array([m - 1])  # ranges of j, and of the i they may take
+    first, last = np.array([0]), np.array([m - 2])
+    while len(lo):
+        ok = lo <= hi
+        lo, hi, first, last = lo[ok], hi[ok], first[ok], last[ok]
+        if not len(lo):
+            break
+        mid = (lo + hi) // 2
+        n = np.minimum(last, mid - 1) - first + 1
+        start = np.cumsum(n) - n
+        i = np.arange(n.sum()) - np.repeat(start - first, n)
+        c = best[i] + cost(i + 1, np.repeat(mid, n))
+        least = np.minimum.reduceat(c, start)
+        hit = np.flatnonzero(c == np.repeat(least, n))
+        pick = i[hit[np.searchsorted(hit, start)]]
+        value[mid], arg[mid] = least, pick
+        lo, hi, first, last = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([first, pick]), np.concatenate([pick, last])
+    return value, arg
+
+
 @dataclass(frozen=True)
 class Run:
     """Ranks [rank, rank + containers * per) of bucket ``bucket`` go, ``per`` at a time, to containers from ``first``."""
@@ -129,64 +158,71 @@ def plan(counts: list[int], boundaries: list[int], capacity: int, first: int = 0
 def pack(sizes: DataFrame, key: str, size: str, capacity: int, buckets: int = 256, shard_rows: int = 200_000) -> DataFrame:
     """(key, piece, piece_size, container), each item whole in one container unless it alone exceeds the capacity.
 
-    ``sizes`` has a row per item and must be stable (a written table), as it is read three times: for the
-    histogram, for the shard counts and for the assignment. Items larger than ``capacity`` are cut into full
-    pieces, which fill a container each, and a rest that is packed like any item; ``piece`` counts from 0.
+    ``sizes`` has a row per item and must be stable (a written table), as it is read several times: for the
+    histogram, for the counts of the shards and for the assignment. Items larger than ``capacity`` are cut into
+    full pieces, which fill a container each, and a rest that is packed like any item; ``piece`` counts from 0.
     Items of size 0 or null take no room and go to container 0. An empty table gives no rows. Repeated rows
     are items of their own. The same rows always get the same containers.
 
-    The driver receives the histogram (``capacity`` bars) and one count per bucket and shard; a shard is a
-    hash of the key and holds about ``shard_rows`` rows whatever the skew of sizes, and ranks are counted
-    inside (bucket, shard).
+    The driver receives the histogram, at most ``capacity`` bars, and nothing else; the bucket of a size and the
+    plan of a bucket are tables bounded by the capacity. A shard is a hash of the key and holds about
+    ``shard_rows`` rows of a bucket at most; ranks are counted inside (bucket, shard), and where a shard's ranks
+    begin is a running sum over its bucket's shards, kept in Spark.
     """
+    spark = sizes.sparkSession
     s = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("bigint"), F.lit(0).cast("bigint"))
     items = sizes.select(F.col(key).alias("k"), s.alias("s"))
     rest = F.when(F.col("s") % capacity == 0, F.least(F.col("s"), F.lit(capacity))).otherwise(F.col("s") % capacity)
     items = items.select("k", "s", rest.cast("int").alias("r"), F.when(F.col("s") > 0, F.expr(f"(s - 1) div {capacity}")).otherwise(0).alias("full"))
-    bars = items.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).collect()
+    bars = items.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).toArrow()
     histogram = np.zeros(capacity + 1, np.int64)
-    n_full = n_rows = 0
-    for b in bars:
-        histogram[b["r"]] += b["n"]
-        n_full, n_rows = n_full + b["full"], n_rows + b["n"]
+    histogram[bars["r"].to_numpy()] = bars["n"].to_numpy()
+    n_rows, n_full = int(histogram.sum()), int(bars["full"].to_numpy().sum()) if len(bars) else 0
     bounds = bucket_boundaries(histogram, buckets)
-    spark = sizes.sparkSession
-    shards = max(1, -(-n_rows // shard_rows))
-    lookup = np.searchsorted(bounds, np.arange(capacity + 1)).tolist() if bounds else [0] * (capacity + 1)
-    bucket = F.get(F.array(*[F.lit(x) for x in lookup]), F.col("r"))
-    tagged = items.where("s > 0").withColumn("b", bucket).withColumn("h", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
-    per_shard = tagged.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = [0] * len(bounds)
-    offsets = []
-    for r in sorted(per_shard, key=lambda r: (r["b"], r["h"])):
-        offsets.append((r["b"], r["h"], counts[r["b"]]))
-        counts[r["b"]] += r["n"]
+    occurring = [x for x in np.flatnonzero(histogram).tolist() if x]
+    of_size = np.searchsorted(bounds, occurring)
+    counts = np.bincount(of_size, weights=histogram[occurring], minlength=len(bounds)).astype(np.int64).tolist() if occurring else []
     runs, after = plan(counts, bounds, capacity)
-    off = spark.createDataFrame(offsets or [(0, 0, 0)], "b int, h int, before bigint")
-    by_bucket: dict[int, list[Run]] = {}
+    size_table = spark.createDataFrame(list(zip(occurring, of_size.tolist())) or [(0, 0)], "r int, b int")
+    by_bucket: dict[int, list[tuple[int, int, int]]] = {}
     for x in runs:
-        by_bucket.setdefault(x.bucket, []).append(x)
-    rows = [(b, [(x.rank, x.per, x.first) for x in sorted(v, key=lambda x: x.rank)]) for b, v in by_bucket.items()]
-    table = spark.createDataFrame(rows or [(0, [(0, 1, 0)])], "b int, runs array<struct<rank: bigint, per: bigint, first: bigint>>")
+        by_bucket.setdefault(x.bucket, []).append((x.rank, x.per, x.first))
+    plan_table = spark.createDataFrame([(b, sorted(v)) for b, v in by_bucket.items()] or [(0, [(0, 1, 0)])], "b int, runs array<struct<rank: bigint, per: bigint, first: bigint>>")
+
+    shard = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-n_rows // shard_rows)))).cast("int")
+    tagged = items.where("s > 0").join(F.broadcast(size_table), "r").withColumn("h", shard)
+    starts = _starts(tagged.groupBy("b", "h").agg(F.count(F.lit(1)).alias("n")), ["b"])
+    # of its bucket's runs a shard keeps those that its own ranks fall into
+    overlapping = F.filter("runs", lambda x, i: (x["rank"] < F.col("before") + F.col("n")) & (F.coalesce(F.get(F.col("runs"), i + 1)["rank"], F.lit(1 << 62)) > F.col("before")))
+    starts = starts.join(F.broadcast(plan_table), "b").select("b", "h", "before", overlapping.alias("runs"))
     w = Window.partitionBy("b", "h").orderBy("k", "s")
-    ranked = tagged.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(off), ["b", "h"]).join(F.broadcast(table), "b")
+    ranked = tagged.withColumn("i", F.row_number().over(w) - 1).join(starts, ["b", "h"])
     ranked = ranked.withColumn("i", F.col("i") + F.col("before")).withColumn("run", F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("i")), -1))
-    last = ranked.select(
+    out = ranked.select(
         F.col("k").alias(key), F.col("full").cast("int").alias("piece"), F.col("r").cast("bigint").alias("piece_size"), F.expr("run.first + (i - run.rank) div run.per").alias("container")
     )
-    nothing = items.where("s = 0").select(F.col("k").alias(key), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("piece_size"), F.lit(0).cast("bigint").alias("container"))
-    out = last.unionAll(nothing)
+    zero = F.lit(0).cast("bigint")
+    out = out.unionAll(items.where("s = 0").select(F.col("k").alias(key), F.lit(0).alias("piece"), zero.alias("piece_size"), zero.alias("container")))
     if n_full:
-        # full pieces: numbered per (shard), again from bounded counts
-        big = items.where("full > 0").withColumn("h", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
-        starts, at = [], after
-        for r in sorted(big.groupBy("h").agg(F.sum("full").alias("n")).collect(), key=lambda r: r["h"]):
-            starts.append((r["h"], at))
-            at += r["n"]
+        big = items.where("full > 0").withColumn("h", shard)
+        begins = _starts(big.groupBy("h").agg(F.sum("full").alias("n")), [])
         upto = Window.partitionBy("h").orderBy("k", "s").rowsBetween(Window.unboundedPreceding, 0)
-        big = big.withColumn("upto", F.sum("full").over(upto)).join(F.broadcast(spark.createDataFrame(starts, "h int, at bigint")), "h")
-        pieces = big.select("k", "at", "upto", "full", F.explode(F.expr("sequence(0, CAST(full AS INT) - 1)")).alias("piece"))
-        out = out.unionAll(
-            pieces.select(F.col("k").alias(key), "piece", F.lit(capacity).cast("bigint").alias("piece_size"), (F.col("at") + F.col("upto") - F.col("full") + F.col("piece")).alias("container"))
-        )
+        big = big.withColumn("upto", F.sum("full").over(upto)).join(begins, "h")
+        pieces = big.select("k", (F.col("before") + F.col("upto") - F.col("full") + after).alias("at"), F.explode(F.expr("sequence(0, CAST(full AS INT) - 1)")).alias("piece"))
+        out = out.unionAll(pieces.select(F.col("k").alias(key), "piece", F.lit(capacity).cast("bigint").alias("piece_size"), (F.col("at") + F.col("piece")).alias("container")))
     return out
+
+
+def _starts(per_shard: DataFrame, by: list[str]) -> DataFrame:
+    """``per_shard`` (by, h, n) with before: the sum of n over the shards before h. One row per shard, so few rows meet."""
+    before = Window.partitionBy(*by).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    return per_shard.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def split_items(assignment: DataFrame, key: str) -> DataFrame:
+    """(key): items of the result of :func:`pack` whose pieces lie in more than one container.
+
+    A key that occurs on several rows of the input is taken as one item.
+    """
+    a = assignment.groupBy(key).agg(F.min("container").alias("lo"), F.max("container").alias("hi"))
+    return a.where("hi > lo").select(key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.functions.safe import scalars
 from rookery.llm import bpe, neardup, packing, subjects
 from rookery.session import cut
 from rookery.sources.tables import table
@@ -41,8 +42,20 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that had to be split, as they alone exceed a container: those with a second piece."""
-    return _packed(spark, d).where("piece = 1").select("doc_id")
+    """Documents that had to be split, as they alone exceed a container: their pieces were assigned to several."""
+    return packing.split_items(_packed(spark, d), "doc_id")
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing, here of the documents by characters: nothing lost, no container too full, only oversized items split."""
+    chars = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    a = packing.pack(cut(chars, "chars"), "doc_id", "n", CAPACITY)
+    items = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_size").alias("size"), F.count_distinct("container").alias("containers"))
+    items = items.agg(F.count(F.lit(1)).alias("n_items"), F.sum("pieces").alias("n_pieces"), F.sum("size").alias("total"), F.count(F.when(F.col("containers") > 1, 1)).alias("n_split"))
+    loads = a.where("piece_size > 0").groupBy("container").agg(F.sum("piece_size").alias("load"))
+    loads = loads.agg(F.count(F.when(F.col("load") > CAPACITY, 1)).alias("n_overfull"), (F.sum("load") / F.lit(float(CAPACITY)) / F.count(F.lit(1)) > 0.95).alias("well_filled"))
+    v = scalars(loads)
+    return items.select("*", v("n_overfull").alias("n_overfull"), v("well_filled").alias("well_filled"))
 
 
 def _posteriors(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +73,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("subject").agg(F.count(F.when(F.col("posterior") >= 0.5, 1)).alias("n_docs"), F.round(F.sum("posterior"), 3).alias("expected_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p8_ids, p9_found, p9_containers, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p8_ids, p9_found, p9_containers, p9_invariants, p10_found, p10_composition)}
 
 _WORDS = r"""WITH s AS (SELECT DISTINCT id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM casts WHERE text IS NOT NULL AND id IS NOT NULL),
 t AS (SELECT id, w, len(w) AS n, min(id) OVER (PARTITION BY w) AS class_id FROM s WHERE len(w) >= 10)"""
@@ -69,6 +82,8 @@ _PAIRS = "SELECT a.id AS id_a, b.id AS id_b FROM x a JOIN x b ON a.word = b.word
 #: The other results need a vocabulary or a fitted model, which SQL lacks; they are tested against public
 #: encoders, brute force and held-out labels instead.
 ORACLE: dict[str, str] = {
+    "p9_invariants": """SELECT count(*) AS n_items, sum(greatest(1, (n + 1023) // 1024))::BIGINT AS n_pieces, sum(n)::BIGINT AS total, count(*) FILTER (n > 1024) AS n_split, 0::BIGINT AS n_overfull, true AS well_filled
+FROM (SELECT coalesce(length(text), 0) AS n FROM documents)""",
     "p5_found": f"{_WORDS}, x AS (SELECT id, n, unnest(w) AS word FROM t) {_PAIRS}",
     "p5_classes": f"""{_WORDS}, x AS (SELECT id, n, unnest(w) AS word FROM t WHERE id = class_id), p AS ({_PAIRS}),
 l AS (SELECT rep, count(*) AS k FROM (SELECT id_a AS rep FROM p UNION ALL SELECT id_b FROM p) GROUP BY rep)

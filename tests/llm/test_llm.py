@@ -121,6 +121,38 @@ def test_packing_fills_and_never_splits(spark, seed, shards):
     assert packing.pack(cut(df.limit(0), "e"), "id", "size", 100).count() == 0
 
 
+@pytest.mark.parametrize("m,k", [(300, 7), (2000, 40)])
+def test_boundaries_match_a_plain_recurrence(m, k):
+    rng = np.random.default_rng(m)
+    h = np.zeros(m + 1, np.int64)
+    h[1:] = rng.integers(0, 50, m) * (rng.random(m) < 0.8)
+    s = np.flatnonzero(h)
+    c, t = np.append(0, np.cumsum(h[s])), np.append(0, np.cumsum(h[s] * s))
+    best = c[1:] * s - t[1:]
+    for _ in range(min(k, len(s)) - 1):
+        best = np.array([min([best[j]] + [best[i] + (c[j + 1] - c[i + 1]) * s[j] - (t[j + 1] - t[i + 1]) for i in range(j)]) for j in range(len(s))]) if m < 500 else np.minimum(best, [np.min(best[:j] + (c[j + 1] - c[1 : j + 1]) * s[j] - (t[j + 1] - t[1 : j + 1])) if j else best[0] for j in range(len(s))])
+    b = packing.bucket_boundaries(h, k)
+    assert len(b) <= k and sum(h[x] * (b[np.searchsorted(b, x)] - x) for x in s) == best[-1]
+
+
+def test_boundaries_of_a_large_capacity_need_little_memory():
+    import tracemalloc
+
+    h = np.random.default_rng(1).integers(0, 9, 32_769)
+    h[0] = 0
+    tracemalloc.start()
+    b = packing.bucket_boundaries(h, 64)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(b) == 64 and top < 150e6
+
+
+def test_split_items_come_from_the_assignment(spark):
+    n = [(1, 100), (2, 101), (3, 250), (4, 0), (5, None), (6, 99), (7, 1)]
+    a = packing.pack(cut(spark.createDataFrame(n, "id int, size int"), "t"), "id", "size", 100)
+    assert sorted(r["id"] for r in packing.split_items(a, "id").collect()) == [2, 3]
+
+
 # 5. near-duplicates
 
 

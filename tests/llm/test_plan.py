@@ -17,3 +17,8 @@ def test_search_reads_the_shuffle_by_key(spark, monkeypatch):
     searches = [b for b in below if b[:1] == ["Sort"]]
     assert len(searches) == 2 and all(b[1] == "Exchange" or b[1:3] == ["Project", "Exchange"] for b in searches), below
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_p9_found_ranks_documents_and_assigns_containers(spark):
+    plan = queries.p9_found(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "row_number" in plan and "min(container" in plan and "max(container" in plan
