@@ -31,9 +31,13 @@ from pyspark.sql import functions as F
 
 from rookery.session import cut
 
-SENTENCE = regex.compile(r"(?<=[.!?。！？])\s*")
-TOKEN = regex.compile(r"[\p{Han}\p{Katakana}ー]+|\p{Hiragana}+|[[\p{L}\p{M}']--[\p{Han}\p{Katakana}\p{Hiragana}]]+", regex.V1)
 ADDRESS = regex.compile(r"https?://([^\s/]+)|@([\p{L}\p{N}_.]+)|/~?/?channel/([\p{L}\p{N}_-]+)")
+INVISIBLE = regex.compile(r"\p{Cf}+")
+#: Classes of code points: three kinds of letters that form tokens, ends of sentences, ends of lines.
+CLASSES = (r"[\p{Han}\p{Katakana}ー]", r"\p{Hiragana}", r"[\p{L}\p{M}']", r"[.!?。！？]", r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_END, _LINE = 4, 5
+#: Texts are worked on in pieces of so many characters (whole texts; a longer text is a piece of its own).
+PIECE_CHARS = 1_000_000
 
 #: Sentences of a language's average that each subject is taken to have shown beforehand.
 SMOOTHING = 0.2
@@ -42,14 +46,32 @@ SHARE_LEVELS = np.array([1e-9, 0.1, 0.145, 0.2, 0.3])
 #: functions that read the document come first, those that read labels last
 TEXT_FUNCTIONS = 4
 FUNCTIONS = {"lexicon": 7, "section": 5, "address": 3, "source": 3, "curator": 3, "crowd": 3}
+#: what a level of each text function counts in the number of a pattern of text functions
+TEXT_PLACES = (5 * 3 * 3, 3 * 3, 3, 1)
 
 
 @lru_cache(1)
-def _invisible() -> dict[int, None]:
-    return {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
+def _classes() -> np.ndarray:
+    """The class of every code point, 0 for none; the first pattern that matches counts."""
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    out = np.zeros(0x110000, np.uint8)
+    for k, p in reversed(list(enumerate(CLASSES, 1))):
+        for m in regex.finditer(p + "+", every):
+            a, z = ord(m[0][0]), ord(m[0][-1])
+            out[a : z + 1] = k
+    out[0xD800:0xE000] = 0
+    return out
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    b = 0x9E3779B97F4A7C15
+    up, down = np.full(n, b, np.uint64), np.full(n, pow(b, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-@lru_cache(400_000)
 def _hash(token: str) -> int:
     return xxhash.xxh32_intdigest(token)
 
@@ -65,34 +87,63 @@ class Sentences:
     addresses: list[list[int]]
 
 
+def _normal(text: str | None) -> str:
+    """Case, width and invisible characters do not matter."""
+    if not text:
+        return ""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).lower()
+
+
 def sentences(texts: list[str | None]) -> Sentences:
     """Words and word pairs of every sentence, whole texts; case, width and invisible characters do not matter."""
-    tokens: list[int] = []
-    of: list[int] = []
-    doc: list[int] = []
-    section: list[int] = []
-    addresses = []
-    n_sec = 0
-    for d, text in enumerate(texts):
-        t = unicodedata.normalize("NFKC", (text or "").translate(_invisible())).lower()
-        addresses.append([_hash(next(x for x in m if x)) for m in ADDRESS.findall(t)] if "/" in t or "@" in t else [])
-        for line in t.splitlines():
-            if not line.strip():
-                continue
-            n_sec += 1
-            for s in SENTENCE.split(line):
-                words = TOKEN.findall(s)
-                if words:
-                    k = len(doc)
-                    doc.append(d)
-                    section.append(n_sec)
-                    tokens.extend(map(_hash, words))
-                    of.extend([k] * len(words))
-    h, o = np.array(tokens, np.uint64), np.array(of, np.int64)
+    normal = [_normal(t) for t in texts]
+    addresses = [[_hash(next(x for x in m if x)) for m in ADDRESS.findall(t)] if "/" in t or "@" in t else [] for t in normal]
+    parts, lo, chars = [], 0, 0
+    for i, t in enumerate(normal):
+        if chars and chars + len(t) > PIECE_CHARS:
+            parts.append(_piece(normal[lo:i], lo))
+            lo, chars = i, 0
+        chars += len(t) + 1
+    parts.append(_piece(normal[lo:], lo))
+    n_sent, n_sec, out = 0, 0, []
+    for sentence, feature, doc, section in parts:
+        out.append((sentence + n_sent, feature, doc, section + n_sec))
+        n_sent, n_sec = n_sent + len(doc), n_sec + (int(section[-1]) + 1 if len(section) else 0)
+    return Sentences(*[np.concatenate(x) for x in zip(*out)], addresses)
+
+
+def _piece(texts: list[str], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence of a feature, feature, document of a sentence, line of a sentence) of normalised texts, without a loop over tokens.
+
+    All texts lie in one array of code points, each followed by a line end. Tokens are runs of one class of
+    letters, sentences end after certain marks and with lines; a token's hash is a difference of prefix sums.
+    """
+    codes = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[codes]
+    letter = (kind > 0) & (kind < _END)
+    before = np.append(np.uint8(0), kind[:-1])
+    start = np.flatnonzero(letter & (kind != before))
+    end = np.flatnonzero(letter & (kind != np.append(kind[1:], np.uint8(0)))) + 1
+    size = 1 << max(20, int(len(codes)).bit_length())
+    up, down = _powers(size)
+    mixed = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D)
+    sums = np.append(np.uint64(0), np.cumsum(mixed * up[: len(codes)], dtype=np.uint64))
+    h = (sums[end] - sums[start]) * down[start]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    line = np.cumsum(kind == _LINE)[start]
+    raw = np.cumsum(kind >= _END)[start]  # sentences, those without words included
+    new = np.append(True, raw[1:] != raw[:-1]) if len(raw) else np.zeros(0, bool)
+    of = np.cumsum(new) - 1
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    doc = first + np.searchsorted(ends, start[new], side="right")
     pair = ((h[:-1] * np.uint64(0x9E3779B1)) ^ (h[1:] + np.uint64(0x7F4A7C15))) & np.uint64(0xFFFFFFFF)
-    same = o[:-1] == o[1:]
-    key = np.unique(np.concatenate([(o.astype(np.uint64) << np.uint64(32)) | h, (o[:-1][same].astype(np.uint64) << np.uint64(32)) | pair[same]]))
-    return Sentences((key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.array(doc, np.int64), np.array(section, np.int64), addresses)
+    same = of[:-1] == of[1:]
+    key = np.concatenate([(of.astype(np.uint64) << np.uint64(32)) | h, (of[:-1][same].astype(np.uint64) << np.uint64(32)) | pair[same]])
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc, line[new]
 
 
 @dataclass
@@ -226,8 +277,12 @@ def _fit_language(mine: np.ndarray, s: Sentences, idx: np.ndarray, allow: np.nda
     return w.astype(np.float32), prior
 
 
-def votes(m: Model, texts: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, subject, level of lexicon .. source as columns) for each pair with any sign of the subject."""
+def votes(m: Model, texts: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, subject, level of lexicon .. source as columns) for each pair with any sign of the subject, and the rest.
+
+    The rest, a matrix of documents and subjects, has the levels of pairs without a sign as one number, -1 where
+    there is a sign: a label may name such a pair.
+    """
     n, ns = len(texts), len(m.subjects)
     s = sentences(texts)
     idx = _lookup(m.vocabulary, s.feature)
@@ -243,14 +298,14 @@ def votes(m: Model, texts: list[str | None], sources: list[str | None]) -> tuple
             score = _sum_rows(number[s.sentence[sel]], m.weights[k], idx[sel], len(mine)) + m.priors[k]
             kind[mine] = score.argmax(1)
     hit = kind < ns
-    count = np.zeros((n, ns), np.int64)
-    np.add.at(count, (s.doc[hit], kind[hit]), 1)
+    count = np.bincount(s.doc[hit] * ns + kind[hit], minlength=n * ns).reshape(n, ns)
     total = np.bincount(s.doc, minlength=n)[:, None]
-    sec = np.unique(np.stack([s.section[hit], s.doc[hit], kind[hit]], 1), axis=0) if hit.any() else np.zeros((0, 3), np.int64)
-    in_sections = np.zeros((n, ns), np.int64)
-    np.add.at(in_sections, (sec[:, 1], sec[:, 2]), 1)
-    pairs = np.unique(np.stack([s.section, s.doc], 1), axis=0) if len(s.doc) else np.zeros((0, 2), np.int64)
-    sections = np.bincount(pairs[:, 1], minlength=n)[:, None]
+    # a line lies in one document: its first sentence names it
+    lines, first = np.unique(s.section, return_index=True)
+    doc_of = s.doc[first]
+    seen = np.unique(np.searchsorted(lines, s.section[hit]) * ns + kind[hit])
+    in_sections = np.bincount(doc_of[seen // ns] * ns + seen % ns, minlength=n * ns).reshape(n, ns) if len(seen) else np.zeros((n, ns), np.int64)
+    sections = np.bincount(doc_of, minlength=n)[:, None]
     share = count / np.maximum(total, 1)
     lexicon = 1 + np.searchsorted(SHARE_LEVELS, share, side="right")
     lexicon = np.where(total > 0, lexicon, 0)
@@ -266,8 +321,10 @@ def votes(m: Model, texts: list[str | None], sources: list[str | None]) -> tuple
         v = m.sources.get((sources[d] or "", m.languages[lang[d]]))
         if v is not None:
             source[d] = v
-    d, k = np.nonzero((count > 0) | (address == 2))
-    return d, k, np.stack([lexicon[d, k], section[d, k], address[d, k], source[d, k]], 1)
+    sign = (count > 0) | (address == 2)
+    d, k = np.nonzero(sign)
+    levels = np.stack([lexicon, section, address, source], 2)
+    return d, k, levels[d, k], np.where(sign, -1, levels @ np.array(TEXT_PLACES))
 
 
 def pattern_of(levels: np.ndarray) -> np.ndarray:
@@ -310,8 +367,8 @@ def latent(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.nda
     return post
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> list:
-    """Rows (text, lang, source, labels) of labelled documents, the first by a hash of the id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int, max_chars: int) -> DataFrame:
+    """(doc_id, text, lang, source, labels) of labelled documents, the first by a hash of the id.
 
     At most ``max_labelled`` documents and ``max_chars`` characters in all; a document with more than a
     hundredth of those is passed over. Whole texts only.
@@ -322,50 +379,65 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int,
     # at most ``max_labelled`` rows are broadcast: the texts of all other documents stay where they are
     sizes = documents.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).where(F.col("n") <= max_chars // 100).join(F.broadcast(per), "doc_id")
     chosen = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(*order))).where(F.col("upto") <= max_chars).select("doc_id", "labels").dropDuplicates(["doc_id"])
-    return documents.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen.withColumnRenamed("doc_id", "l__")), F.col("doc_id") == F.col("l__")).drop("l__")
+
+
+def fitted(sample: DataFrame, subjects: list[str]) -> bytes:
+    """The pickled model of a bounded sample, fitted in one task of an executor; the driver receives the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"] or ""))
+        marks: list[dict[str, set[str]]] = []
+        for r in rows:
+            by: dict[str, set[str]] = {}
+            for x in r["labels"]:
+                by.setdefault(x["label_source"] or "crowd", set()).update([x["subject"]] if x["subject"] else [])
+            marks.append(by)
+        model = fit([r["text"] for r in rows], [r["lang"] for r in rows], [r["source"] for r in rows], marks, subjects)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(got[0]) if got else pickle.dumps(fit([], [], [], [], subjects))
 
 
 def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_labelled: int = 20_000, max_chars: int = 30_000_000) -> DataFrame:
-    """(doc_id, subject, posterior) for every document and subject of which the document shows any sign.
+    """(doc_id, subject, posterior) for every document and subject of which its text or a label shows any sign.
 
-    Pairs without any sign have a posterior near 0 and no row, as have null, empty and blank texts. Labels
-    with subjects that are not in ``areas`` are ignored; a null subject is the label "none". Repeated labels
-    count once; a document delivered several times is scored several times and comes out once. Without
-    labels nothing can be learned and nothing comes out. ``max_labelled`` and ``max_chars`` bound the sample the
-    lexicon is fitted on; votes, accuracies and posteriors cover all documents.
+    Other pairs have a posterior near 0 and no row, as have null, empty and blank texts that no label names. Labels
+    with subjects that are not in ``areas`` are ignored, as are labels of documents that are not there; a null
+    subject is the label "none". Repeated labels count once; a document delivered several times is scored several
+    times and comes out once. Without labels nothing can be learned and nothing comes out. ``max_labelled`` and
+    ``max_chars`` bound the sample the lexicon is fitted on; votes, accuracies and posteriors cover all documents.
     """
     spark = documents.sparkSession
     subjects = sorted(r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().collect())
-    rows = labelled_sample(documents, labels, max_labelled, max_chars)
-    marks: list[dict[str, set[str]]] = []
-    for r in rows:
-        by: dict[str, set[str]] = {}
-        for x in r["labels"]:
-            by.setdefault(x["label_source"] or "crowd", set()).update([x["subject"]] if x["subject"] else [])
-        marks.append(by)
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows], [r["source"] for r in rows], marks, subjects)
-    shipped = spark.sparkContext.broadcast(pickle.dumps(model))
-    del rows, marks, model
+    shipped = spark.sparkContext.broadcast(fitted(labelled_sample(documents, labels, max_labelled, max_chars), subjects))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shipped.value)
         for b in batches:
-            d, k, lv = votes(m, b.column(1).to_pylist(), b.column(2).to_pylist())
-            ids = b.column(0).take(pa.array(d))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(k.astype(np.int32)), *[pa.array(lv[:, j].astype(np.int32)) for j in range(TEXT_FUNCTIONS)]], names=["doc_id", "k", *list(FUNCTIONS)[:TEXT_FUNCTIONS]])
-
-    schema = "doc_id bigint, k int, " + ", ".join(f"`{f}` int" for f in list(FUNCTIONS)[:TEXT_FUNCTIONS])
-    seen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(run, schema)
-    said = lambda who: F.max(F.when(F.coalesce("label_source", F.lit("crowd")) == who, 1)).alias(who)
-    judged = labels.groupBy("doc_id").agg(said("curator"), said("crowd"))
+            d, k, lv, rest = votes(m, b.column(1).to_pylist(), b.column(2).to_pylist())
+            each = np.arange(b.num_rows)
+            ids = b.column(0).take(pa.array(np.concatenate([d, each])))
+            number = np.concatenate([k, np.full(b.num_rows, -1)]).astype(np.int32)
+            level = np.concatenate([lv @ np.array(TEXT_PLACES), np.zeros(b.num_rows, np.int64)]).astype(np.int32)
+            # pairs with a sign have no rest; the row of the document itself (k = -1) has that of all others
+            ends = np.concatenate([np.zeros(len(d) + 1, np.int64), (each + 1) * rest.shape[1]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(level), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest.ravel().astype(np.int32)))], names=["doc_id", "k", "level", "rest"])
+
+    seen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(run, "doc_id bigint, k int, level int, rest array<int>")
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))]) if subjects else F.create_map(F.lit(""), F.lit(-1))
-    named = labels.withColumn("k", F.try_element_at(number, "subject")).where("k IS NOT NULL")
-    named = named.groupBy("doc_id", "k").agg(F.max(F.when(F.col("label_source") == "curator", 1)).alias("curator_yes"), F.max(F.when(F.coalesce("label_source", F.lit("crowd")) == "crowd", 1)).alias("crowd_yes"))
-    level = lambda who: F.when(F.col(f"{who}_yes") == 1, 2).when(F.col(who) == 1, 1).otherwise(0)
-    joined = seen.join(judged, "doc_id", "left").join(named, ["doc_id", "k"], "left").withColumn("l_curator", level("curator")).withColumn("l_crowd", level("crowd"))
-    pattern = F.lit(0).cast("bigint")
-    for f, base in FUNCTIONS.items():
-        pattern = pattern * base + F.col(f"l_{f}" if f in ("curator", "crowd") else f)
+    who = F.coalesce("label_source", F.lit("crowd"))
+    said = lambda w: F.coalesce(F.max((who == w).cast("int")), F.lit(0)).alias(w)
+    named = lambda w: F.array_compact(F.collect_set(F.when(who == w, F.try_element_at(number, "subject")))).alias(f"{w}_names")
+    per = labels.groupBy(F.col("doc_id").cast("bigint").alias("l__")).agg(said("curator"), said("crowd"), named("curator"), named("crowd"))
+    joined = seen.join(per, F.col("doc_id") == F.col("l__"), "left")
+    # a document's own row stands for the pairs that only a label names
+    extra = F.filter(F.array_union("curator_names", "crowd_names"), lambda k: F.get("rest", k) >= 0)
+    joined = joined.withColumn("k", F.explode(F.when(F.col("k") >= 0, F.array("k")).otherwise(F.coalesce(extra, F.array().cast("array<int>")))))
+    level = lambda w: F.when(F.array_contains(f"{w}_names", F.col("k")), 2).when(F.col(w) == 1, 1).otherwise(0)
+    text = F.when(F.size("rest") > 0, F.get("rest", F.col("k"))).otherwise(F.col("level")).cast("bigint")
+    pattern = (text * FUNCTIONS["curator"] + level("curator")) * FUNCTIONS["crowd"] + level("crowd")
     scored = cut(joined.select("doc_id", "k", pattern.alias("pattern")), "subjects")
     table = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     pats, n = np.array([r["pattern"] for r in table], np.int64), np.array([r["n"] for r in table], float)

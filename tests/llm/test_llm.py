@@ -4,9 +4,11 @@ import base64
 import collections
 import random
 import string
+import unicodedata
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from harness import DATA
 from hypothesis import given, settings
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rookery.llm import bpe, neardup, packing, pretokenize, subjects
+from rookery.llm import bpe, neardup, packing, pretokenize, queries, subjects
 from rookery.session import cut
 
 V = bpe.read_vocabulary()
@@ -251,6 +253,40 @@ def test_subjects_of_unlabelled_documents(spark):
     assert subjects.subject_posteriors(df, lab.limit(0), areas).count() == 0
 
 
+def test_pairs_that_only_a_label_names_have_a_posterior(spark):
+    docs, truth = subject_fixture(300, 3)
+    df = spark.createDataFrame(docs + [(900, "nothing of the kind is said here", "en", "bio"), (901, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    labels = [(i, s, "curator") for i in range(150) for s in (truth[i] or {None})] + [(900, "law", "curator"), (901, "food", "crowd"), (902, "law", "curator")]
+    areas = spark.createDataFrame([("law",), ("food",), ("music",)], "subject string")
+    p = {(r["doc_id"], r["subject"]) for r in subjects.subject_posteriors(df, spark.createDataFrame(labels, "doc_id bigint, subject string, label_source string"), areas).collect()}
+    assert {(900, "law"), (901, "food")} <= p and (902, "law") not in p
+
+
+def test_no_label_pair_is_lost_on_the_documents(spark):
+    d = f"{DATA}/sf0.01"
+    names = spark.read.parquet(f"{d}/subject_labels.parquet").where("subject IS NOT NULL").select("doc_id", "subject").distinct()
+    names = names.join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", "left_semi")
+    got = queries._posteriors(spark, d).select("doc_id", "subject")
+    assert names.count() > 80 and names.join(got, ["doc_id", "subject"], "left_anti").count() == 0
+
+
+def test_sentences_equal_a_plain_reading():
+    texts = ["One, two's. Three!four 漢字カナーと ひらがな x", None, "", "a\u2028b c?\r\n\n ... d", "É́x 12ab_c " * 3]
+    s = subjects.sentences(texts)
+    token = regex.compile(r"[\p{Han}\p{Katakana}ー]+|\p{Hiragana}+|[[\p{L}\p{M}']--[\p{Han}\p{Katakana}\p{Hiragana}ー]]+", regex.V1)
+    want = []  # (document, number of distinct words and pairs) of every sentence with words
+    for d, t in enumerate(texts):
+        for line in unicodedata.normalize("NFKC", t or "").lower().splitlines():
+            for part in regex.split(r"(?<=[.!?。！？])", line, flags=regex.V1):
+                w = token.findall(part)
+                if w:
+                    want.append((d, len(set(w)) + len(set(zip(w, w[1:])))))
+    assert list(zip(s.doc.tolist(), np.bincount(s.sentence).tolist())) == want
+    assert s.section.tolist() == sorted(s.section.tolist()) and len(set(s.section.tolist())) == 5
+    same = subjects.sentences(texts[::-1])  # a word's number does not depend on where it stands
+    assert set(same.feature.tolist()) == set(s.feature.tolist())
+
+
 def test_latent_model_learns_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.3
