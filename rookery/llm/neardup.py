@@ -2,19 +2,24 @@
 
 A text is its set of distinct words. Its fingerprint sets one of 64 bits per word, so the Hamming distance of
 two fingerprints is at most the number of words that only one of the texts has, and texts that are at least
-70 % similar, with n and m words, lie within 3 (n + m) / 17 of each other. A vantage-point tree over
-fingerprints answers such range queries: a vantage point splits its shard at the median distance into an
-inner and an outer branch, and by the triangle inequality a query of radius r at distance d from the vantage
-point needs the inner branch only if d - r reaches the boundary from above and the outer one only if d + r
-does from below; queries near the boundary visit both.
-
-One tree over everything would not prune: word sets have so many dimensions that a query's ball overlaps
-about half of all leaves (see the README for figures). The forest therefore has one tree per shard of texts
-that share a rare word, or two less rare ones. Ordering words by corpus frequency, similar texts must share
-their first common word within short prefixes of both, and their first two within prefixes one longer, so
-these shards lose no pair: prefix lengths follow from the largest number of words a partner may lack.
-Exact copies (equal word sets) are represented by one text throughout, and what the trees return is checked
-on the word sets themselves.
+70 % similar, with n and m words, lie within 3 (n + m) / 17 of each other. Vantage points divide the texts
+twice:
+
+1. Between tasks. The vantage points are the single words: a text with n words lies at distance n - 1 from a
+   word it has and n + 1 from any other, so each word divides all texts into an inner branch, a shard, and an
+   outer one. One vantage point rules nothing out, as every ball crosses its boundary, but several do together
+   (pigeonhole on the radius): a partner lacks at most p of a text's words, so of any p + 1 vantage points at
+   least one has both in its inner branch. A text is stored in, and asks, the shards of its p + 1 rarest words;
+   words that too many texts have count in pairs, of p + 2. This loses no pair.
+2. Inside a shard. Vantage points are texts: a point splits its shard at the median distance into an inner and
+   an outer branch, and by the triangle inequality a query of radius r at distance d from the vantage point needs
+   the inner branch only if d - r reaches the boundary from above and the outer one only if d + r does from
+   below; queries near the boundary visit both. Leaves are read in order of the distance to a vantage point of
+   their own, and a query meets only those whose distance differs by no more than its radius.
+
+Texts as vantage points from the start would not prune: word sets have so many dimensions that a query's ball
+overlaps about half of all leaves (figures in the README). Exact copies (equal word sets) are represented by
+one text throughout, and what the search returns is checked on the word sets themselves.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ RARE = 512
 SHARD_ROWS = 8192
 #: Copies of other texts are told apart by a broadcast table up to so many rows, by a shuffle beyond.
 BROADCAST_ROWS = 500_000
-#: Tree nodes with at most so many points are leaves.
+#: Tree nodes with at most so many points are leaves; how deep trees grow, not what is found.
 LEAF = 128
 
 
@@ -87,8 +92,8 @@ def word_sets(texts: list[str | None], least: int) -> tuple[list[int], np.ndarra
     return at, n, h[np.lexsort((h, np.repeat(np.arange(len(n)), n)))]
 
 
-def _sets(df: DataFrame, key: str, text: str, least: int, with_words: bool) -> DataFrame:
-    """(id, h1, h2[, words]) of the rows with enough words; h1 and h2 identify the word set."""
+def _sets(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(id, h1, h2, words) of the rows with enough words; h1 and h2 identify the word set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,15 +102,13 @@ def _sets(df: DataFrame, key: str, text: str, least: int, with_words: bool) -> D
             ends = np.concatenate([[0], np.cumsum(n * 6)]).astype(np.int32)
             view, e = memoryview(six), ends.tolist()
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(e, e[1:])]), np.int64).reshape(-1, 2)
-            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            if with_words:
-                cols.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(six)]))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2"] + ["words"] * with_words)
+            words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(six)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(digest[:, 0]), pa.array(digest[:, 1]), words], names=["id", "h1", "h2", "words"])
 
     # so many words need at least as many letters and separators between them
     long_enough = F.char_length(text) >= 2 * least - 1
     rows = df.where(F.col(key).isNotNull() & long_enough).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint" + ", words binary" * with_words)
+    return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, words binary")
 
 
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,27 +232,62 @@ def tree_pairs(rep: np.ndarray, n: np.ndarray, small: np.ndarray, fp: np.ndarray
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def _small_shards(key, rep, n, small, fp, size) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many shards that are no larger than a leaf, side by side; rows are sorted by key."""
+def leaf_pairs(shard: np.ndarray, rep: np.ndarray, n: np.ndarray, small: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (smaller, larger partner) that the vantage points of leaves cannot rule out; many leaves side by side.
+
+    ``shard`` numbers the leaf of each row and does not fall. A leaf's vantage point is the row farthest from its
+    first one. Rows are put in order of their distance to it, and each meets the rows after it while their
+    distance exceeds its own by no more than its radius: beyond, the triangle inequality rules all out.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(shard):
+        return none, none
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    sizes = np.diff(np.append(first, len(shard)))
+    away = np.bitwise_count(fp ^ np.repeat(fp[first], sizes)).astype(np.int64)
+    far = np.lexsort((away, shard))[first + sizes - 1]
+    d = np.bitwise_count(fp ^ np.repeat(fp[far], sizes)).astype(np.int64)
+    order = np.lexsort((d, shard))
+    rep, n, small, fp, d = rep[order], n[order], small[order], fp[order], d[order]
+    last = np.repeat(first + sizes, sizes)
+    reach = d + radius(n, 10 * n // 7)  # no partner has more words
     a, b = [], []
-    length = len(key)
-    last = np.searchsorted(key, key, side="right")
-    todo = np.flatnonzero((size > 1) & (size <= LEAF))
-    off = 1
-    while len(todo):
+    todo, off = np.arange(len(shard)), 1
+    while True:
         todo = todo[todo + off < last[todo]]
+        todo = todo[d[todo + off] <= reach[todo]]
+        if not len(todo):
+            break
         i, j = todo, todo + off
         near = np.bitwise_count(fp[i] ^ fp[j]) <= radius(n[i], n[j])
         i, j = i[near], j[near]
         swap = (n[j] < n[i]) | (n[j] == n[i]) & (rep[j] < rep[i])
         p, r = np.where(swap, j, i), np.where(swap, i, j)
         ok = small[p] & (10 * n[p] >= 7 * n[r]) & (rep[p] != rep[r])
-        a.append(p[ok])
-        b.append(r[ok])
+        a.append(order[p[ok]])
+        b.append(order[r[ok]])
         off += 1
-        if off > length:
-            break
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def shard_pairs(cols: list[np.ndarray], limit: int | None) -> np.ndarray:
+    """Distinct candidate pairs of whole shards, given as columns (key, rep, n, small, fp) in order of the key.
+
+    Shards up to LEAF rows are leaves, larger ones trees of them; shards of more than ``limit`` rows are passed over.
+    """
+    key, rep, n, small, fp = cols
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(new, len(key)))
+    leaf = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LEAF), sizes))
+    p, r = leaf_pairs(np.repeat(np.arange(len(new)), sizes)[leaf], rep[leaf], n[leaf], small[leaf], fp[leaf])
+    ps, rs = [leaf[p]], [leaf[r]]
+    tree = (sizes > LEAF) & (sizes <= (limit or len(key)))
+    for s, k in zip(new[tree].tolist(), sizes[tree].tolist()):
+        x, y = tree_pairs(rep[s : s + k], n[s : s + k], small[s : s + k], fp[s : s + k])
+        ps.append(x + s)
+        rs.append(y + s)
+    x, y = rep[np.concatenate(ps)], rep[np.concatenate(rs)]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
 
 
 def _search(rows: DataFrame, limit: int | None = None) -> DataFrame:
@@ -260,20 +298,7 @@ def _search(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, rep, n, small, fp = cols
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(new, len(key)))
-        leaves = np.where(sizes > limit, 0, sizes) if limit is not None else sizes  # of size 0: not searched
-        p, r = _small_shards(np.repeat(np.arange(len(new)), sizes), rep, n, small, fp, np.repeat(leaves, sizes))
-        ps, rs = [p], [r]
-        for s, k in zip(new[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            if limit is not None and k > limit:
-                continue
-            x, y = tree_pairs(rep[s : s + k], n[s : s + k], small[s : s + k], fp[s : s + k])
-            ps.append(x + s)
-            rs.append(y + s)
-        x, y = rep[np.concatenate(ps)], rep[np.concatenate(rs)]
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        pair = shard_pairs(cols, limit)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +325,17 @@ def _search(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def similar(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Row by row, whether two columns of word sets are at least 0.7 similar; at most 65,536 rows."""
+    (u, n), (v, m) = _flat(x), _flat(y)
+    row = lambda k: np.repeat(np.arange(len(k), dtype=np.uint64), k) << np.uint64(48)
+    both = np.concatenate([u | row(n), v | row(m)])
+    both.sort()
+    twice = both[1:][both[1:] == both[:-1]]
+    common = np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=len(n))
+    return common >= least_common(n, m)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose word sets are at least 0.7 similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -308,12 +344,10 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                u, v = np.frombuffer(x, "V6").tolist(), np.frombuffer(y, "V6").tolist()
-                keep.append(17 * len(set(u).intersection(v)) >= 7 * (len(u) + len(v)))
-            m = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])
+            for lo in range(0, b.num_rows, 4096):
+                c = b.slice(lo, 4096)
+                m = pa.array(similar(c.column(2), c.column(3)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.column(0).filter(m), c.column(1).filter(m)], names=["a", "b"])
 
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
@@ -332,14 +366,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
 
     Sent to the driver: the frequency sketch, 2^18 counters whatever the size of the corpus.
     """
-    sets = cut(_sets(df, key, text, least_words, False).distinct(), "wordsets")
+    read = cut(_sets(df, key, text, least_words), "words")  # every text is read and hashed once
+    sets = cut(read.select("id", "h1", "h2").distinct(), "wordsets")
     classes = sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = sets.join(classes, ["h1", "h2"]).select("rep", "id", "copies", "h1", "h2")
     copies = members.where("id <> rep").select("id", "h1", "h2")
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    words = _sets(df, key, text, least_words, True).join(copies, ["id", "h1", "h2"], "left_anti")
-    reps = cut(words.select(F.col("id").alias("rep"), "words"), "words")
+    reps = read.join(copies, ["id", "h1", "h2"], "left_anti").select(F.col("id").alias("rep"), "words")
     keyed = _keyed(reps, _sketch(reps), rare).repartition("key")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHARD_ROWS)
     whole = keyed.sortWithinPartitions("key")
@@ -353,11 +387,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, least_words: int = 10, r
     return links, members.select("rep", "id", "copies")
 
 
-def expand(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: links and classes as pairs of single texts."""
+def expand(links: DataFrame, members: DataFrame, rows_per_task: int = 1_000) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: links and classes as pairs of single texts.
+
+    A class of c equal texts gives c (c - 1) / 2 pairs, which is what was asked for; the compact form is links and
+    members. The pairs of a large class are divided over parts of ``rows_per_task`` of its texts.
+    """
     m = members
     cross = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     cross = cross.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    many = m.where("copies > 1")
-    same = many.select("rep", F.col("id").alias("id_a")).join(many.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
+    many = m.where("copies > 1").withColumn("parts", F.ceil(F.col("copies") / rows_per_task).cast("int"))
+    left = many.select("rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("id_a"))
+    right = many.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"))
+    same = left.join(right, ["rep", "part"]).where("id_a < id_b").select("id_a", "id_b")
     return cross.where("id_a < id_b").unionAll(same)

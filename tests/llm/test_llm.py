@@ -7,6 +7,7 @@ import string
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -204,6 +205,55 @@ def test_tree_loses_no_pair(monkeypatch):
     assert len(got) < len(n) * (len(n) - 1) / 4  # and it does rule pairs out
 
 
+def leaf_rows(seed, n=300):
+    texts = list(enumerate(near_texts(seed, n)))
+    at, size, flat = neardup.word_sets([t for _, t in texts], 10)
+    return texts, np.array(at), size, neardup.fingerprints(flat, size)
+
+
+def test_leaves_prune_by_distance_and_lose_no_pair():
+    texts, at, n, fp = leaf_rows(5)
+    shard = np.repeat([3, 8, 9], [1, len(at) - 100, 99])
+    p, r = neardup.leaf_pairs(shard, at, n, np.ones(len(n), bool), fp)
+    got = {tuple(sorted((int(at[a]), int(at[b])))) for a, b in zip(p, r)}
+    leaf = dict(zip(at.tolist(), shard.tolist()))
+    assert got >= {(a, b) for a, b in brute_pairs(texts, 10) if leaf[a] == leaf[b]} and got
+    assert all(leaf[a] == leaf[b] for a, b in got) and neardup.leaf_pairs(shard[:0], at[:0], n[:0], n[:0] > 0, fp[:0])[0].size == 0
+
+
+@pytest.mark.parametrize("broken", ["leaf_pairs", "tree_pairs"])
+def test_without_vantage_points_pairs_are_lost(spark, monkeypatch, broken):
+    """All pairs come from the two vantage-point searches: leaves and trees; there is no third way."""
+    monkeypatch.setattr(neardup, "LEAF", 4 if broken == "tree_pairs" else 10**6)
+    texts = near_texts(2)
+    at, n, flat = neardup.word_sets(texts, 10)
+    d, key, small = neardup.shard_keys(flat, n, np.full(neardup.SKETCH, 2), 512)
+    o = np.argsort(key)
+    rows = [key[o], np.array(at)[d[o]], n[d[o]], small[o], neardup.fingerprints(flat, n)[d[o]]]
+    find = lambda: {tuple(x) for x in neardup.shard_pairs(rows, None).tolist()}
+    full = find()
+    assert brute_pairs(list(enumerate(texts)), 10) <= full
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(neardup, broken, lambda *a: (none, none))
+    assert len(find()) < len(full) and (broken == "tree_pairs" or not find())
+
+
+def test_similarity_of_columns_equals_that_of_sets():
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(60), rng.randrange(10, 40))) for _ in range(400)]
+    pack = lambda s: b"".join(x.to_bytes(6, "little") for x in s)
+    a, b = sets[:200], [sorted(set(x[: rng.randrange(8, 40)]) | set(rng.sample(range(60), 3))) for x in sets[:200]]
+    got = neardup.similar(pa.array(map(pack, a), pa.binary()), pa.array(map(pack, b), pa.binary()))
+    assert got.tolist() == [10 * len(set(x) & set(y)) >= 7 * len(set(x) | set(y)) for x, y in zip(a, b)] and 0 < sum(got) < 200
+
+
+def test_a_large_class_is_expanded_in_parts(spark):
+    members = spark.createDataFrame([(1, i, 30) for i in range(1, 31)] + [(50, 50, 1)], "rep bigint, id bigint, copies bigint")
+    links = spark.createDataFrame([(1, 50)], "a bigint, b bigint")
+    got = [tuple(r) for r in neardup.expand(links, members, rows_per_task=7).collect()]
+    assert len(got) == len(set(got)) == 30 * 29 // 2 + 30 and all(a < b for a, b in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 40), min_size=10, max_size=30), st.sets(st.integers(0, 40), min_size=10, max_size=30))
 def test_bounds_hold(a, b):
