@@ -9,6 +9,8 @@ from rookery.operators.skew import ROWS_PER_TASK, hot_groups, with_parts
 
 #: Runs of integer keys are looked up by aligned ranges of so many keys.
 KEY_RANGE = 256
+#: Runs of at most so many ranges are broadcast (each range has at most KEY_RANGE / 2 runs of 16 bytes).
+BROADCAST_RANGES = 50_000
 _EVER = 9_223_372_036_854_775_807
 _BEFORE = -9_223_372_036_854_775_808
 
@@ -66,8 +68,7 @@ def with_known(refs: DataFrame, runs: DataFrame, key: str, out: str = "known__")
     """``refs`` with ``out``: whether the key lies inside a run of :func:`key_runs`; null keys are in none.
 
     Every reference is matched as of its key to the preceding run start; it is beyond the run if the key is
-    greater than the run's end. The join is by aligned ranges of keys; whether the runs are broadcast, and so
-    references stay where they are, is the optimiser's decision by their size.
+    greater than the run's end. The join is by aligned ranges of keys.
     """
     r = runs.select(F.col("at").alias("at__"), F.col("runs").alias("runs__"))
     k = F.col(key)
@@ -92,21 +93,28 @@ def orphans(refs: DataFrame, runs: DataFrame, key: str, at: str, rows_per_task:
     references is divided into parts by its count, each with a copy of that key's lifetimes.
     """
     kept = [c for c in refs.columns if c != "orphan_kind"]
+    hashable = [F.col(f"row.`{c}`") for c in kept if "map" not in refs.schema[c].dataType.simpleString() and "variant" not in refs.schema[c].dataType.simpleString()]
     payload = F.struct(*[F.col(f"`{c}`") for c in kept])
     keyed = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), payload.alias("row"))
     hot = hot_groups(keyed.select("k"), ["k"], rows_per_task)
+    part = F.when(F.col("parts__") > 1, F.pmod(F.xxhash64("t", *hashable), F.col("parts__"))).otherwise(0).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)).alias("part")
+    left = with_parts(keyed, ["k"], hot).select("k", "t", part.alias("part"), "row")
     unknown: DataFrame | None = None
     if integer_keys:
-        known = with_known(keyed, key_runs(runs, "k"), "k")
+        ranges = key_runs(runs, "k")
+        if ranges.count() <= BROADCAST_RANGES:
+            known = with_known(left, F.broadcast(ranges), "k")
+        else:
+            # too many to broadcast: each key is matched once, and its verdict meets the references part by part
+            verdict = with_parts(with_known(keyed.select("k").distinct(), ranges, "k"), ["k"], hot).select("k", parts, "known__")
+            known = left.join(verdict, ["k", "part"])
         unknown = known.where("NOT known__").select("row.*", F.lit("never").alias("orphan_kind"))
-        keyed = known.where("known__").drop("known__")
-    hashable = [F.col(f"row.`{c}`") for c in kept if "map" not in refs.schema[c].dataType.simpleString() and "variant" not in refs.schema[c].dataType.simpleString()]
-    left = with_parts(keyed, ["k"], hot).select(
-        "k", "t", F.when(F.col("parts__") > 1, F.pmod(F.xxhash64("t", *hashable), F.col("parts__"))).otherwise(0).cast("int").alias("part"), "row", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("e")
-    )
+        left = known.where("known__").drop("known__")
+    left = left.select("k", "t", "part", "row", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("e"))
     # a key's first lifetime brings a mark that sorts before every instant: the key exists at some time
     marked = F.array_compact(F.array(F.when(F.col("nr") == 1, F.struct(F.lit(_BEFORE).alias("t"), F.lit(_BEFORE).alias("e"))), F.struct(F.col("s").alias("t"), F.coalesce("e", F.lit(_EVER)).alias("e"))))
-    right = with_parts(runs, ["k"], hot).select("k", F.explode(F.sequence(F.lit(0), F.col("parts__") - 1)).alias("part"), marked.alias("m"))
+    right = with_parts(runs, ["k"], hot).select("k", parts, marked.alias("m"))
     right = right.select("k", "part", F.explode("m").alias("m")).select("k", "m.t", "part", F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.lit(0).alias("side"), "m.e")
     order = Window.partitionBy("k", "part").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumn("until", F.last("e", True).over(order))

@@ -10,6 +10,7 @@ from rookery.features.gaps import with_gaps, with_running_count
 from rookery.functions.timex import micros
 from rookery.operators.cumulative import NO_DAY, cumulative_store, feature_table, period_features, type_features, wide_features
 from rookery.operators.eager import KeyedInput, eager_states, heavy_keys, join_totals
+from rookery.operators import intervals
 from rookery.operators.intervals import key_runs, lifetime_runs, orphans, with_known
 from rookery.operators.rolling import daily_totals, rolling_totals
 from rookery.operators.sessions import sessionize
@@ -256,7 +257,9 @@ def test_integer_keys_are_compressed_to_runs(spark):
     assert not any(r["known__"] for r in with_known(refs, runs.limit(0), "fid").collect())
 
 
-def test_a_hot_reference_key_is_split(spark):
+@pytest.mark.parametrize("most", [intervals.BROADCAST_RANGES, 0])
+def test_a_hot_reference_key_is_split(spark, monkeypatch, most):
+    monkeypatch.setattr(intervals, "BROADCAST_RANGES", most)
     refs = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("fid"), F.col("id").alias("t"))
     runs = lifetime_runs(spark.createDataFrame([(7, 100, 200), (4500, 0, None)], "k bigint, s bigint, e bigint"), "k", "s", "e")
     for ints in (False, True):
