@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -24,11 +25,15 @@ class FeatureSet:
 
 @dataclass
 class FeatureContext:
-    """What a feature set may read: the session, the folder, and the sets built before it."""
+    """What a feature set may read: the session, the folder, and the sets built before it.
+
+    ``delivery`` names the state of the data in the folder; where it is rewritten in place, give its end time.
+    """
 
     spark: SparkSession
     folder: str
     built: dict[str, DataFrame] = field(default_factory=dict)
+    delivery: str = ""
 
 
 class FeatureRegistry:
@@ -88,7 +93,8 @@ class FeatureManager:
             if self.cache is None:
                 c.built[n] = s.build(c)
             else:
-                path = f"{self.cache}/{n}-v{s.version}.parquet"
+                state = hashlib.sha256(f"{c.folder}\n{c.delivery}".encode()).hexdigest()[:16]
+                path = f"{self.cache}/{n}-v{s.version}-{state}.parquet"
                 if not self._exists(path):
                     s.build(c).select(self.key, *s.outputs).write.parquet(path)
                 c.built[n] = c.spark.read.parquet(path)

@@ -70,3 +70,16 @@ def address_list(text: Column | str) -> Column:
     """Distinct well-formed addresses (0x and 42 characters) of a JSON array of strings; empty for anything else."""
     parsed = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
     return F.array_distinct(F.filter(parsed, lambda a: a.startswith("0x") & (F.char_length(a) == 42)))
+
+
+def hex_amount(text: Column | str, decimals: int = 18) -> Column:
+    """A hexadecimal whole number (0x optional) over 10^decimals, as a double; up to 30 significant digits.
+
+    Null for null, empty and malformed texts, and for numbers with more digits.
+    """
+    digits = F.regexp_extract(text, r"^(?:0[xX])?0*([0-9a-fA-F]{0,30})$", 1)
+    ok = (F.col(text) if isinstance(text, str) else text).rlike(r"^(0[xX])?0*[0-9a-fA-F]{0,30}$") & (F.char_length(text) > 0)
+    full = F.lpad(digits, 30, "0")
+    part = lambda at: F.conv(F.substring(full, at, 15), 16, 10).cast("decimal(20,0)")
+    whole = part(1).cast("double") * float(16**15) + part(16).cast("double")
+    return F.when(ok, whole / float(10**decimals))

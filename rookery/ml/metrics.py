@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from rookery.functions.safe import count_if, scalars, sdiv
 
 
+def checked(df: DataFrame, score: str, label: str) -> DataFrame:
+    """``df`` itself, or an error: no rows, a null or NaN, a label other than 0 and 1, or a score outside [0, 1]. One aggregate."""
+    s, y = F.col(score).cast("double"), F.col(label).cast("double")
+    a = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        count_if(s.isNull() | y.isNull() | F.isnan(s) | F.isnan(y)).alias("missing"),
+        count_if(y.isNotNull() & ~y.isin(0.0, 1.0)).alias("labels"),
+        count_if((s < 0) | (s > 1)).alias("scores"),
+    ).first()
+    wrong = [m for m, bad in (("no rows", a["rows"] == 0), (f"{a['missing']} rows without a score or label", a["missing"]), (f"{a['labels']} labels that are not 0 or 1", a["labels"]), (f"{a['scores']} scores outside [0, 1]", a["scores"])) if bad]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return df
+
+
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row, auc: the exact Mann-Whitney statistic with tied scores at their average rank.
 

@@ -16,9 +16,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.functions.safe import scalars
+from rookery.functions.safe import count_if, scalars, sdiv
+from rookery.ml.metrics import roc_auc
 from rookery.ml.prepare import folds
 from rookery.ml.scoring import soft_vote
+from rookery.session import cut
 
 
 @dataclass(frozen=True)
@@ -141,6 +143,81 @@ class Ensemble:
         return e
 
 
+def importance_union(by_model: dict[str, Sequence[tuple[str, float]]], k: int = 10) -> list[str]:
+    """Features among the ``k`` most important of any model, in order of their greatest importance; ties by name."""
+    best: dict[str, float] = {}
+    for ranked in by_model.values():
+        for c, x in sorted(ranked, key=lambda r: (-r[1], r[0]))[:k]:
+            best[c] = max(x, best.get(c, 0.0))
+    return sorted(best, key=lambda c: (-best[c], c))
+
+
+def out_of_fold(df: DataFrame, columns: Sequence[str], config: ModelConfig, names: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """(key, label, weight, fold, extra, p_<learner> ...): each row scored by learners fitted on the other folds."""
+    parts = folds(with_weights(df, config), config.key, config.folds, config.seed)
+    out: DataFrame | None = None
+    for i in range(config.folds):
+        have, asked = parts.where(F.col("fold") != i), parts.where(F.col("fold") == i)
+        for n in names:
+            asked = probability(pipeline(n, columns, config).fit(have).transform(asked), f"p_{n}")
+        got = asked.select(config.key, config.label, "weight", "fold", *extra, *[f"p_{n}" for n in names])
+        out = got if out is None else out.unionAll(got)
+    assert out is not None, "at least one fold"
+    return out
+
+
+@dataclass
+class Stacked:
+    """A meta-learner over the out-of-fold probabilities of base learners, with their weights and stability."""
+
+    base: dict[str, PipelineModel]
+    meta: PipelineModel
+    weights: dict[str, float]  # proportional to the area under the curve out of fold
+    stability: dict[str, float]  # variance of that area over the folds
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with p_<learner>, stacked (of the meta-learner) and weighted (the vote by weights)."""
+        out = df
+        for n, m in self.base.items():
+            out = probability(m.transform(out), f"p_{n}")
+        out = probability(self.meta.transform(out), "stacked")
+        vote = F.lit(0.0)
+        for n, w in self.weights.items():
+            vote = vote + w * F.col(f"p_{n}")
+        return out.withColumn("weighted", vote)
+
+
+def stacking(df: DataFrame, columns: Sequence[str], config: ModelConfig, names: Sequence[str] = ("gbt", "forest", "logistic")) -> Stacked:
+    """Fit base learners on all rows, and a logistic meta-learner on what they say out of fold.
+
+    A fold without one of the classes says nothing about stability; learners no better than chance weigh 0, and
+    equally if none is.
+    """
+    seen = cut(out_of_fold(df, columns, config, names), "stack")
+    area = {n: roc_auc(seen, f"p_{n}", config.label).first()[0] or 0.5 for n in names}
+    by_fold = {n: [x for i in range(config.folds) if (x := roc_auc(seen.where(F.col("fold") == i), f"p_{n}", config.label).first()[0]) is not None] for n in names}
+    gain = {n: max(a - 0.5, 0.0) for n, a in area.items()}
+    total = sum(gain.values())
+    weights = {n: g / total if total else 1 / len(names) for n, g in gain.items()}
+    spread = {n: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v) if v else 0.0 for n, v in by_fold.items()}
+    meta = Pipeline(stages=[VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="features"), LogisticRegression(labelCol=config.label, featuresCol="features", weightCol="weight")]).fit(seen)
+    data = with_weights(df, config)
+    return Stacked({n: pipeline(n, columns, config).fit(data) for n in names}, meta, weights, spread)
+
+
+def compare_segments(df: DataFrame, segment: str, columns: Sequence[str], config: ModelConfig, names: Sequence[str] = ("forest", "logistic"), threshold: float = 0.5) -> DataFrame:
+    """(segment, learner, n, precision, recall, f1): cross-validated quality of each learner in each segment.
+
+    Learners are fitted on the other folds of all segments; rows with a null segment take part in fitting only.
+    """
+    seen = out_of_fold(df, columns, config, names, extra=[segment]).where(F.col(segment).isNotNull())
+    cells = F.array(*[F.struct(F.lit(n).alias("learner"), (F.col(f"p_{n}") >= threshold).alias("said")) for n in names])
+    x = seen.select(F.col(segment).alias("segment"), (F.col(config.label) == 1).alias("is"), F.explode(cells).alias("c"))
+    a = x.groupBy("segment", "c.learner").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("is") & F.col("c.said")).alias("tp"), count_if(~F.col("is") & F.col("c.said")).alias("fp"), count_if(F.col("is") & ~F.col("c.said")).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return a.select("segment", "learner", "n", sdiv(tp, tp + fp).alias("precision"), sdiv(tp, tp + fn).alias("recall"), sdiv(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def tuned(name: str, df: DataFrame, columns: Sequence[str], config: ModelConfig, grid: dict[str, Sequence[object]]) -> PipelineModel:
     """The best of a parameter grid by cross-validated area under the precision-recall curve; class weights are kept."""
     p = pipeline(name, columns, config)

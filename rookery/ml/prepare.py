@@ -40,6 +40,17 @@ def bad_rows(df: DataFrame, key: str) -> DataFrame:
     return df.where(p).select(key)
 
 
+def check_non_negative(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``df`` itself, or an error that names the numeric columns with a negative value; null and NaN are none. One aggregate."""
+    columns = list(columns) if columns is not None else numeric_columns(df)
+    if columns:
+        low = df.agg(*[F.min(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        bad = [c for i, c in enumerate(columns) if low[i] is not None and low[i] < 0]
+        if bad:
+            raise ValueError(f"negative values in {', '.join(bad)}")
+    return df
+
+
 def check_matrix(df: DataFrame, label: str, columns: Sequence[str], large: float = 1e6) -> dict[str, object]:
     """Class counts and the columns with extreme values; raises on NaN or infinities."""
     a = df.agg(

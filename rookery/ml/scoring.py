@@ -97,6 +97,18 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(F.least(F.floor(x * bins), F.lit(bins - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def population(df: DataFrame, column: str, threshold: float = 0.5) -> DataFrame:
+    """One row about the scores of a population: how many on either side of a threshold, mean, median, deviation and range.
+
+    The median is an order statistic within 1 / 10,000 of the middle rank; null and NaN are left out.
+    """
+    x = F.col(column).cast("double")
+    live = df.where(x.isNotNull() & ~F.isnan(x))
+    return live.agg(
+        F.count(F.lit(1)).alias("n"), count_if(x >= threshold).alias("n_above"), count_if(x < threshold).alias("n_below"), F.avg(x).alias("mean"), F.percentile_approx(x, 0.5, 10_000).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
+    )
+
+
 def interval(df: DataFrame, probabilities: Sequence[str], z: float = 1.959964) -> DataFrame:
     """``df`` with lower, upper and a category of confidence from the spread of several models."""
     p = [F.col(c).cast("double") for c in probabilities]

@@ -93,8 +93,10 @@ def p3_type_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
-    """One row per account with its features by kind of event."""
-    return feature_table(type_features(_store(spark, d)), "fid")
+    """One row per account: totals, and its kinds of event in order with count, total and latest time, as text."""
+    t = feature_table(type_features(_store(spark, d)).withColumn("last_us", F.coalesce(micros("last_ts").cast("string"), F.lit(""))), "fid")
+    cell = lambda x: F.concat_ws("|", x["event_type"], x["n"].cast("string"), x["total"].cast("string"), x["last_us"])
+    return t.select("fid", "n_types", "n_events", "total", micros("last_ts").alias("last_us"), F.array_join(F.transform("types", cell), "\n").alias("types"))
 
 
 _SNAPSHOTS = {
@@ -274,6 +276,10 @@ FROM k LEFT JOIN c USING (fid) LEFT JOIN r USING (fid) LEFT JOIN f USING (fid) W
     "p3_type_features": _TYPES
     + f"""SELECT fid, event_type, count(*) AS n, sum(amount)::BIGINT AS total, epoch_us(max(timestamp)) AS last_us, {_SUM("1", 7)} AS n_7d, {_SUM("amount", 7)} AS total_7d, {_SUM("1", 30)} AS n_30d, {_SUM("amount", 30)} AS total_30d
 FROM ev WHERE timestamp IS NULL OR CAST(timestamp AS DATE) <= DATE '2024-12-31' GROUP BY 1, 2""",
+    "p3_features": _TYPES
+    + """SELECT fid, count(*) AS n_types, sum(n)::BIGINT AS n_events, sum(total)::BIGINT AS total, max(last_us) AS last_us,
+string_agg(concat_ws('|', event_type, n::VARCHAR, total::VARCHAR, coalesce(last_us::VARCHAR, '')), chr(10) ORDER BY event_type) AS types
+FROM (SELECT fid, event_type, count(*) AS n, sum(amount)::BIGINT AS total, epoch_us(max(timestamp)) AS last_us FROM ev GROUP BY 1, 2) GROUP BY fid""",
     "p4_found": _CHANGES,
     "p4_changed_fields": _FIELDS,
     "p6_found": "WITH " + _DAILY.replace("TAIL", "0") + "SELECT fid, strftime(day, '%Y-%m-%d') AS cal_day FROM r WHERE n = 0 AND ahead > 0 AND n7 >= 5 AND n7 * 30 < n30 * 7",

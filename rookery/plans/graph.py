@@ -85,14 +85,13 @@ def sybilscar(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.round("posterior", 6).alias("posterior"))
 
 
-def _walk(n: int) -> str:
-    out = ["dg AS (SELECT src AS id, count(*) AS degree FROM sy GROUP BY 1)", "w0 AS (SELECT dg.id, dg.degree, CASE WHEN NOT lb.bot THEN 1.0 ELSE 0.0 END::DOUBLE AS prior, CASE WHEN NOT lb.bot THEN 1.0 ELSE 0.0 END::DOUBLE AS post FROM dg LEFT JOIN lb ON lb.fid = dg.id)"]
-    for i in range(n):
-        out.append(f"w{i + 1} AS (SELECT v.id, v.degree, v.prior, coalesce(g.got, 0) + 0.15 * v.prior AS post FROM w{i} v LEFT JOIN (SELECT e.dst AS id, sum(0.85::DOUBLE * x.post / x.degree) AS got FROM sy e JOIN w{i} x ON x.id = e.src GROUP BY 1) g USING (id))")
-    return ", ".join(out)
+#: as many steps as the operator takes by default, floor(ln(number of nodes))
+_WALK = """dg AS (SELECT src AS id, count(*) AS degree FROM sy GROUP BY 1), w AS (
+  SELECT 0 AS i, dg.id, dg.degree, CASE WHEN NOT lb.bot THEN 1.0 ELSE 0.0 END::DOUBLE AS prior, CASE WHEN NOT lb.bot THEN 1.0 ELSE 0.0 END::DOUBLE AS post FROM dg LEFT JOIN lb ON lb.fid = dg.id
+  UNION ALL SELECT v.i + 1, v.id, v.degree, v.prior, coalesce(g.got, 0) + 0.15 * v.prior FROM w v LEFT JOIN (SELECT e.dst AS id, sum(0.85::DOUBLE * x.post / x.degree) AS got FROM sy e JOIN w x ON x.id = e.src GROUP BY 1) g USING (id) WHERE v.i < (SELECT floor(ln(count(*))) FROM dg))"""
 
 
-@R.add(V.with_views("f lb", "SELECT id, round(post / degree, 6) AS rank FROM w5", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _walk(5)))
+@R.add(V.with_views("f lb", "SELECT id, round(post / degree, 6) AS rank FROM w WHERE i = (SELECT floor(ln(count(*))) FROM dg)", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _WALK).replace("WITH ", "WITH RECURSIVE ", 1))
 def sybilrank(spark: SparkSession, d: str) -> DataFrame:
     seeds = V.labels(spark, d).where("NOT bot").select(F.col("fid").alias("id"))
     return P.sybil_rank(_sym(spark, d), seeds).select("id", F.round("rank", 6).alias("rank"))
@@ -107,7 +106,7 @@ def _messages(n: int) -> str:
     return ", ".join(out)
 
 
-@R.add(V.with_views("f lb", "SELECT v.id, round(1 / (1 + exp(-(ln(v.prior) - ln(1 - v.prior) + b.o))), 6) AS posterior FROM v JOIN (SELECT dst AS id, sum(ln(m)) - sum(ln(1 - m)) AS o FROM m3 GROUP BY 1) b USING (id)", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _messages(3)))
+@R.add(V.with_views("f lb", "SELECT v.id, round(1 / (1 + exp(-(ln(v.prior) - ln(1 - v.prior) + b.o))), 6) AS posterior FROM v JOIN (SELECT dst AS id, sum(ln(m)) - sum(ln(1 - m)) AS o FROM m5 GROUP BY 1) b USING (id)", _LF + ", " + _MUTUAL + ", " + _SYM + ", " + _messages(5)))
 def sybilbelief(spark: SparkSession, d: str) -> DataFrame:
     s = P.sybil_belief(_sym(spark, d), V.labels(spark, d))
     return s.select("id", F.round("posterior", 6).alias("posterior"))

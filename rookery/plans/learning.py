@@ -165,6 +165,13 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     return P.anomaly_scores(_scores(spark, d), ["casts", "reacts"]).select("fid", F.round("anomaly", 4).alias("anomaly"))
 
 
+_LAB = f"""x AS (SELECT * FROM (SELECT fid, casts, reacts, {_SEG} AS segment FROM sc WHERE fid NOT IN (SELECT fid FROM lb)) WHERE segment IS NOT NULL),
+md AS (SELECT fid, segment, casts, reacts, (SELECT median(casts) FROM x) AS mc, (SELECT median(reacts) FROM x) AS mr FROM x), {_ROBUST.replace("SELECT fid, (abs", "SELECT fid, segment, (abs")},
+t AS (SELECT fid, segment FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY anomaly DESC, fid) AS r FROM z) WHERE r <= 12),
+o AS (SELECT fid, segment FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY (fid * 2654435761) % 4294967296, fid) AS r FROM z WHERE fid NOT IN (SELECT fid FROM t)) WHERE r <= 38)"""
+
+
+@R.add(_sql("SELECT fid, segment, true AS is_anomaly FROM t UNION ALL SELECT fid, segment, false FROM o", _LAB))
 def label_samples(spark: SparkSession, d: str) -> DataFrame:
     """Accounts to label next: per segment up to 50, a quarter of them anomalous."""
     x = _scores(spark, d).withColumn("segment", S.segment_of(F.col("casts"), F.col("replies"))).where("segment IS NOT NULL").join(V.labels(spark, d), "fid", "left_anti")
@@ -209,7 +216,15 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("casts").alias("avg_casts"))
 
 
-for _f in (label_samples, ensemble, self_training, kmeans):
+@R.add(_sql("SELECT 'held out' AS part, count(*) AS n, true AS in_range FROM sc JOIN lb USING (fid) WHERE bot IS NOT NULL AND (fid * 2654435761) % 4294967296 < 858993459 UNION ALL SELECT 'clusters', count(*), true FROM sc"))
+def model_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any model: every held-out account has a probability, every account a cluster."""
+    p = _one("logistic")(spark, d).agg(F.lit("held out").alias("part"), F.count(F.lit(1)).alias("n"), F.min(F.col("p").between(0, 1)).alias("in_range"))
+    k = kmeans(spark, d).agg(F.lit("clusters").alias("part"), F.sum("n").alias("n"), (F.min("cluster") >= 0).alias("in_range"))
+    return p.unionAll(k)
+
+
+for _f in (ensemble, self_training, kmeans):
     R.queries[_f.__name__] = _f
 for _n in ("gbt", "forest", "logistic"):
     R.queries[f"model_{_n}"] = _one(_n)

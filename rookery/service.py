@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rookery.features.registry import FeatureManager
 from rookery.graph.edges import mutual_pairs, symmetric
 from rookery.graph.propagate import sybil_scar
 from rookery.ml.models import Ensemble, ModelConfig
@@ -29,6 +30,30 @@ SCORES = T.StructType(
 )
 
 
+#: What accounts report about others, one row per report.
+REPORTS = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("reporter_fid", T.LongType(), False),
+        T.StructField("target_fid", T.LongType(), False),
+        T.StructField("cast_hash", T.StringType()),
+        T.StructField("message_hash", T.StringType()),
+        T.StructField("network", T.IntegerType()),
+        T.StructField("reported_as_sybil", T.BooleanType()),
+        T.StructField("sybil_probability", T.FloatType()),
+        T.StructField("attestation", T.StringType()),
+        T.StructField("report_timestamp", T.TimestampType()),
+        T.StructField("created_at", T.TimestampType()),
+    ]
+)
+
+
+def add_reports(new: DataFrame, out: str) -> None:
+    """Store reports by id in the table ``reports`` of a folder; a report delivered again replaces its earlier row."""
+    validate(new, REPORTS.names, {f.name: f.dataType for f in REPORTS.fields})
+    upsert(new.where("id IS NOT NULL").select(*REPORTS.names), f"{out}/reports", "id")
+
+
 @dataclass(frozen=True)
 class JobConfig:
     """Where the job writes and how it combines its two scores."""
@@ -41,8 +66,11 @@ class JobConfig:
 
 
 def published(graph: DataFrame, model: DataFrame, names: DataFrame, how: str = "min") -> DataFrame:
-    """Rows of SCORES from (fid, graph_score), (fid, model_score) and (fid, fname); every named account has a row."""
-    j = names.join(graph.join(model, "fid", "full"), "fid", "left")
+    """Rows of SCORES from (fid, graph_score), (fid, model_score) and (fid, fname).
+
+    Every account that has a name or a score has a row; without a name fname is null.
+    """
+    j = names.where("fid IS NOT NULL").join(graph.join(model, "fid", "full"), "fid", "full")
     c = combine(j, "graph_score", "model_score", how)
     return c.select(F.col("fid").cast("bigint").alias("fid"), "fname", F.col("score").cast("float").alias("sybil_probability"), F.col("diagnosis").alias("sybil_diagnosis"), F.current_timestamp().alias("last_updated"))
 
@@ -78,6 +106,27 @@ def check_account(spark: SparkSession, out: str, fid: int | None = None, fname:
     return {"fid": row["fid"], "result": "benign" if p < 0.5 else "sybil", "numeric_result": round(p, 4), "message": ""}
 
 
+def predict_account(manager: FeatureManager, model: Ensemble, fid: int | None = None, fname: str | None = None, names: DataFrame | None = None) -> dict[str, object]:
+    """Build the features of one account and score it: fid, status and probability.
+
+    ``names`` (fid, fname) resolves a name and, where given, tells which accounts exist; status is ``not_found``
+    without a match and ``feature_build_failed`` (with the missing columns) when the feature sets do not give
+    what the model was fitted on. Features are put in the model's order; other features are not passed to it.
+    """
+    if names is not None:
+        hit = names.where(F.col("fid") == fid if fid is not None else F.col("fname") == fname).agg(F.min("fid")).first()[0]
+        if hit is None:
+            return {"fid": fid, "status": "not_found", "probability": None}
+        fid = hit
+    missing = [c for c in model.columns if manager.registry.provider(c) is None]
+    if missing:
+        return {"fid": fid, "status": "feature_build_failed", "probability": None, "missing": missing}
+    sets = list(dict.fromkeys(manager.registry.provider(c) for c in model.columns))
+    row = manager.features_for([fid], sets).select("fid", *[F.col(c).cast("double").alias(c) for c in model.columns])
+    got = model.transform(row).select("adjusted").first()
+    return {"fid": fid, "status": "ok", "probability": float(got[0])} if got else {"fid": fid, "status": "not_found", "probability": None}
+
+
 def purge(folder: str, keep: tuple[str, ...] = ()) -> list[str]:
     """Remove the entries of a local folder but those named; returns what was removed, nothing for a missing folder."""
     gone = []

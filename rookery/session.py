@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def get_session(app: str = "rookery", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,6 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[app]
 
 
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables written by :func:`cut` but the first ``keep``; returns how many there are left.
+
+    To be called once the results that read them have been consumed, so that a long session does not fill the
+    shared folder: ``n = release(spark, len_before)`` around a query frees just that query's tables.
+    """
+    while len(_tables) > keep:
+        _remove(spark, _tables.pop())
+    return len(_tables)
+
+
+def cut_tables() -> int:
+    """How many tables :func:`cut` has written and not removed."""
+    return len(_tables)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,10 +74,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts lineage and survives the loss of executors; the table is removed when the driver exits.
+    Cuts lineage and survives the loss of executors; the table is removed by :func:`release`, at the latest when
+    the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rookery-{name}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(release, spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -122,13 +122,16 @@ def write_posteriors(df: DataFrame, path: str, key: str = "id", value: str = "po
 def upsert(new: DataFrame, path: str, key: str) -> None:
     """Replace the rows of a parquet table whose keys occur in ``new``, keep the others; a new table if there is none.
 
-    Written beside the table and swapped, so readers see the old or the new table.
+    Written beside the table and swapped by two renames: a reader never sees a half-written table, but between the
+    renames there is none for a moment. If the job dies there, the next call finds the old table and restores it.
     """
     spark = new.sparkSession
     jvm = spark._jvm
     at, side, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new", path + ".old"))
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(side, True)
+    if fs.exists(old) and not fs.exists(at):
+        fs.rename(old, at)
     out = new
     if fs.exists(at):
         kept = spark.read.parquet(path).join(new.select(key).distinct(), key, "left_anti")
@@ -142,16 +145,23 @@ def upsert(new: DataFrame, path: str, key: str) -> None:
 
 
 def write_marker(path: str, last_timestamp: int) -> None:
-    """A checkpoint marker: the time up to which deliveries were processed."""
-    with open(path, "w") as f:
-        json.dump({"last_timestamp": last_timestamp}, f)
+    """A checkpoint marker: the time up to which deliveries were processed. On any file system the cluster knows."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        f.write(json.dumps({"last_timestamp": last_timestamp}).encode())
+    finally:
+        f.close()
 
 
 def read_marker(path: str) -> int | None:
-    if not os.path.exists(path):
+    """The time of a marker, None where there is none."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
-    with open(path) as f:
-        return json.load(f)["last_timestamp"]
+    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))["last_timestamp"]
 
 
 def spine(df: DataFrame, key: str, n: int | None = None, ensure: Iterable[int] = ()) -> DataFrame:

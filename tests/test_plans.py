@@ -6,12 +6,12 @@ import pytest
 from harness import DATA
 
 import __spark_entry__ as entry
-from rookery.plans import general, graph, learning, relational
+from rookery.plans import exchange, general, graph, learning, relational
 from rookery.plans import features as feature_queries
 
 SF = f"{DATA}/sf0.001"
-FITS = {"ensemble", "self_training", "kmeans", "model_gbt", "model_forest", "model_logistic"}
-CORE = {k: q for m in (general, relational, feature_queries, graph, learning) for k, q in m.QUERIES.items() if k not in FITS}
+FITS = {"ensemble", "self_training", "kmeans", "model_gbt", "model_forest", "model_logistic", "model_invariants"}
+CORE = {k: q for m in (general, relational, feature_queries, graph, learning, exchange) for k, q in m.QUERIES.items() if k not in FITS}
 
 
 def plan(df):
