@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.timex import gap
-from rookery.operators.skew import ROWS_PER_TASK, time_chunks
+from rookery.operators.skew import CHUNK, ROWS_PER_TASK, time_chunks
 
 
 def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -19,12 +19,12 @@ def with_gaps(df: DataFrame, key: str, ts: str, tie: str, chunk: str = "month",
     from a summary with one row per key and chunk. Chunks are calendar spans, and those of them with too many
     rows are cut where their counted rows reach equal shares, so a busy account is divided even within a day.
     """
-    live = time_chunks(df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, "chunk__")
-    w = Window.partitionBy(key, "chunk__").orderBy(ts, tie)
-    ends = live.groupBy(key, "chunk__").agg(F.max(ts).alias("end__"))
-    before = ends.select(F.col(key).alias("key__"), F.col("chunk__").alias("at__"), F.lag("end__").over(Window.partitionBy(key).orderBy("chunk__")).alias("before__"))
-    out = live.withColumn("lag__", F.lag(ts).over(w)).join(before, (F.col(key) == F.col("key__")) & (F.col("chunk__") == F.col("at__")))
-    out = out.withColumn("prev_ts", F.coalesce("lag__", "before__")).drop("lag__", "before__", "key__", "at__", "chunk__")
+    live = time_chunks(df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, *CHUNK)
+    w = Window.partitionBy(key, *CHUNK).orderBy(ts, tie)
+    ends = live.groupBy(key, *CHUNK).agg(F.max(ts).alias("end__"))
+    before = _at(key, ends, F.lag("end__").over(Window.partitionBy(key).orderBy(*CHUNK)))
+    out = _joined(key, live.withColumn("lag__", F.lag(ts).over(w)), before)
+    out = out.withColumn("prev_ts", F.coalesce("lag__", "before__")).drop("lag__", "before__")
     units = {"gap_s": "SECOND", "gap_m": "MINUTE", "gap_h": "HOUR"}
     return out.withColumns({c: gap(u, F.col("prev_ts"), F.col(ts)) for c, u in units.items()})
 
@@ -35,13 +35,25 @@ def with_running_count(df: DataFrame, key: str, ts: str, tie: str, counted: str,
     Null times come first. Runs inside (key, chunk of time), see :func:`with_gaps`, with the count of the chunks
     before added from one summary row per key and chunk; rows with a null key are dropped.
     """
-    live = time_chunks(df.where(F.col(key).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, "chunk__")
-    upto = Window.partitionBy(key, "chunk__").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    per = live.groupBy(key, "chunk__").agg(F.count(counted).alias("n__"))
-    earlier = Window.partitionBy(key).orderBy("chunk__").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(F.col(key).alias("key__"), F.col("chunk__").alias("at__"), F.coalesce(F.sum("n__").over(earlier), F.lit(0)).alias("before__"))
-    x = live.withColumn("own__", F.count(counted).over(upto)).join(before, (F.col(key) == F.col("key__")) & (F.col("chunk__") == F.col("at__")))
-    return x.withColumn(out, F.col("own__") + F.col("before__")).drop("own__", "before__", "key__", "at__", "chunk__")
+    live = time_chunks(df.where(F.col(key).isNotNull()), key, ts, chunk, rows_per_task).repartition(key, *CHUNK)
+    upto = Window.partitionBy(key, *CHUNK).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    per = live.groupBy(key, *CHUNK).agg(F.count(counted).alias("n__"))
+    earlier = Window.partitionBy(key).orderBy(*CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = _at(key, per, F.coalesce(F.sum("n__").over(earlier), F.lit(0)))
+    x = _joined(key, live.withColumn("own__", F.count(counted).over(upto)), before)
+    return x.withColumn(out, F.col("own__") + F.col("before__")).drop("own__", "before__")
+
+
+def _at(key: str, per_chunk: DataFrame, value: Column) -> DataFrame:
+    return per_chunk.select(F.col(key).alias("k__"), *[F.col(c).alias(f"at_{c}") for c in CHUNK], value.alias("before__"))
+
+
+def _joined(key: str, rows: DataFrame, before: DataFrame) -> DataFrame:
+    """``rows`` with before__ of their chunk and without the chunk."""
+    on = F.col(key) == F.col("k__")
+    for c in CHUNK:
+        on = on & (F.col(c) == F.col(f"at_{c}"))
+    return rows.join(before, on).drop("k__", *CHUNK, *[f"at_{c}" for c in CHUNK])
 
 
 def nearest_quantiles(df: DataFrame, key: str, value: str, qs: Sequence[float]) -> DataFrame:

@@ -400,13 +400,14 @@ def target_of_cast(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Eight groups on the spine of profiled accounts, missing features 0; :func:`feature_matrix_all` has all."""
-    c = V.casts(spark, d)
+    # posts are told apart once with their texts and once without, so that texts are not carried through the gaps
+    c, t = V.casts(spark, d, ["fid", "text", "parent_hash", "mentions", "deleted_at"]), V.casts(spark, d, ["fid", "timestamp", "deleted_at"])
     groups = [
         identity.profile(V.profiles(spark, d)),
         content.texts(c),
         content.mentions(c),
-        temporal.timing(c),
-        temporal.patterns(c),
+        temporal.timing(t),
+        temporal.patterns(t),
         content.reactions(V.reactions(spark, d)),
         network.following(V.follows(spark, d)),
         network.counters(V.follow_counts(spark, d)),

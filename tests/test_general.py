@@ -10,7 +10,7 @@ from rookery.features.gaps import with_gaps, with_running_count
 from rookery.functions.timex import micros
 from rookery.operators.cumulative import NO_DAY, cumulative_store, feature_table, period_features, type_features, wide_features
 from rookery.operators.eager import KeyedInput, eager_states, heavy_keys, join_totals
-from rookery.operators import intervals
+from rookery.operators import intervals, skew
 from rookery.operators.intervals import key_runs, lifetime_runs, orphans, with_known
 from rookery.operators.rolling import daily_totals, rolling_totals
 from rookery.operators.sessions import sessionize
@@ -112,17 +112,25 @@ def test_hot_chunks_of_sessions_are_divided(spark):
     assert hot_groups(df.limit(0), ["fid"], 50).count() == 0
 
 
-def test_chunks_of_time_are_balanced_and_in_order(spark):
+def test_chunks_of_time_are_balanced_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(skew, "fits_one_task", lambda df: False)
     rng = random.Random(3)
     e = [(1, at(rng.choice([5, rng.randrange(80_000)]))) for _ in range(2000)] + [(2, at(9)), (1, None), (None, at(3))]
     x = time_chunks(spark.createDataFrame(e, "fid int, t timestamp_ntz"), "fid", "t", rows_per_task=200)
-    got = sorted((tuple(r["chunk__"]), r["t"]) for r in x.where("fid = 1 AND t IS NOT NULL").collect())
+    got = sorted(((r["span__"], r["part__"]), r["t"]) for r in x.where("fid = 1 AND t IS NOT NULL").collect())
     assert len(got) == 2000 and [t for _, t in got] == sorted(t for _, t in got)  # chunks do not interleave
-    sizes = sorted(r["count"] for r in x.where("fid = 1").groupBy("chunk__").count().collect())
+    sizes = sorted(r["count"] for r in x.where("fid = 1").groupBy(*skew.CHUNK).count().collect())
     assert sizes[-1] <= 1400 and max(sizes[:-1]) <= 210 and x.count() == len(e)
 
 
-def test_gaps_do_not_depend_on_the_chunks(spark):
+def test_small_inputs_are_not_counted_first(spark):
+    assert skew.fits_one_task(spark.range(1000)) and not skew.fits_one_task(spark.range(10_000_000))
+    df = spark.createDataFrame([(1, at(3))], "fid int, t timestamp_ntz")
+    assert time_chunks(df, "fid", "t", rows_per_task=0).first()["part__"] == 0
+
+
+def test_gaps_do_not_depend_on_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "fits_one_task", lambda df: False)
     rng = random.Random(4)
     e = [(rng.choice([1, 1, 1, 2, 3]), i, at(rng.choice([77, rng.randrange(10**7)]))) for i in range(600)]
     df = spark.createDataFrame(e, "fid int, id int, ts timestamp_ntz").withColumns({"rows__": F.lit(1), "n": F.lit(1)})

@@ -36,12 +36,21 @@ def test_scans_read_what_is_needed(spark):
 
 
 def test_shuffles_per_query(spark):
-    assert exchanges(plan(general.p2_found(spark, SF))) == 2  # events, then pieces
+    p = plan(general.p2_found(spark, SF))
+    assert exchanges(p) == 7 and p.count("MergingSessions") >= 2  # events and pieces once each; the rest are counts of (account, day)
     assert exchanges(plan(feature_queries.channel_metrics(spark, SF))) <= 4
     one = plan(general.snapshot_changes(general.table(spark, SF, "follow_counts"), ["fid"], ["follower_count"], "export_ts", [1, 2, 3]))
     assert exchanges(one) == 1  # rows by key; unpivoting and both sums stay there
 
 
+def test_steps_that_decide_are_in_the_plan(spark):
+    p = plan(general.p7_found(spark, SF))
+    assert "Window [row_number()" in p and "try_element_at" in p.lower() or "element_at" in p  # runs of keys, then as of the key
+    p = plan(general.p3_found(spark, SF))
+    assert p.count("CASE WHEN (day") >= 2 and "Window" in p  # the store, and its values at both ends of the period
+    assert "Join" not in plan(general.p1_found(spark, SF)).replace("BroadcastHashJoin [key_field", "")  # states meet totals only
+
+
 def test_every_query_is_registered_once():
     q = entry.queries()
     assert set(CORE) | FITS <= set(q) and set(entry.oracle_sql()) <= set(q)
