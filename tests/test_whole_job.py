@@ -48,7 +48,7 @@ def test_matrix_has_every_group(spark):
     m = features.feature_matrix_all(spark, sf)
     groups = set(features.QUERIES) - {"latest_names", "target_of_cast", "feature_matrix", "feature_matrix_all"}
     width = sum(len(features.QUERIES[n](spark, sf).columns) - 1 for n in groups)
-    assert len(groups) == 39 and len(m.columns) == len(set(m.columns)) == 1 + width
+    assert len(groups) == 41 and len(m.columns) == len(set(m.columns)) == 1 + width
 
 
 def test_self_training_goes_on_past_two_refits(spark, monkeypatch):
