@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,5 +83,13 @@ def hex_amount(text: Column | str, decimals: int = 18) -> Column:
     ok = (F.col(text) if isinstance(text, str) else text).rlike(r"^(0[xX])?0*[0-9a-fA-F]{0,30}$") & (F.char_length(text) > 0)
     full = F.lpad(digits, 30, "0")
     part = lambda at: F.conv(F.substring(full, at, 15), 16, 10).cast("decimal(20,0)")
-    whole = part(1).cast("double") * float(16**15) + part(16).cast("double")
-    return F.when(ok, whole / float(10**decimals))
+    # added up as decimals: a sum of two doubles would be rounded twice
+    whole = part(1) * F.lit(Decimal(16**15)) + part(16)
+    return F.when(ok, whole.cast("double") / float(10**decimals))
+
+
+def hex_whole(n: Column) -> Column:
+    """0x and hexadecimal digits of a whole number from 0 on, bigint or decimal(38,0), below 2^123; null for null."""
+    n, low = n.cast("decimal(38,0)"), F.lit(Decimal(16**15))
+    high = F.call_function("div", n, low)
+    return F.concat(F.lit("0x"), F.hex(high), F.lpad(F.hex((n % low).cast("bigint")), 15, "0"))

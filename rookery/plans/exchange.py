@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions.safe import sdiv
-from rookery.functions.text import hex_amount
+from rookery.functions.text import hex_amount, hex_whole
 from rookery.functions.timex import micros
 from rookery.ml import metrics as M
 from rookery.ml import prepare as P
@@ -123,9 +124,10 @@ def population(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("SELECT o_orderkey, o_orderkey::DOUBLE * 10000000000000 / 1e18 AS amount FROM orders")
 def hex_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Hexadecimal amounts of a currency with 18 decimals."""
-    o = table(spark, d, "orders", ["o_orderkey"])
-    return o.select("o_orderkey", hex_amount(F.concat(F.lit("0x"), F.hex(F.col("o_orderkey") * 10_000_000_000_000))).alias("amount"))
+    """Hexadecimal amounts of a currency with 18 decimals; the whole numbers pass the range of bigint from key 922,338 on."""
+    o, k = table(spark, d, "orders", ["o_orderkey"]), F.col("o_orderkey").cast("decimal(19,0)")
+    amount = hex_amount(hex_whole(F.abs(k) * F.lit(Decimal(10_000_000_000_000))))
+    return o.select("o_orderkey", F.when(k < 0, -amount).otherwise(amount).alias("amount"))
 
 
 @R.add(V.with_views("lb", "SELECT fid, CASE WHEN fid IN (SELECT fid FROM lb WHERE bot) THEN 1 WHEN fid IN (SELECT fid FROM lb WHERE NOT bot) THEN 0 END AS label FROM (SELECT DISTINCT fid FROM signers WHERE fid IS NOT NULL)"))

@@ -4,10 +4,10 @@ import datetime as dt
 import math
 
 import pytest
-from harness import DATA
+from harness import DATA, compare, connect
 
 from rookery.ml import models
-from rookery.plans import features, graph, learning
+from rookery.plans import exchange, features, graph, learning
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +61,11 @@ def test_self_training_goes_on_past_two_refits(spark, monkeypatch):
     monkeypatch.setattr(learning, "_training", lambda *_: (have, rest))
     two = models.self_training(have, rest, cols, models.ModelConfig(), rounds=2)[1].count()
     assert 20 < two < learning.self_training(spark, "").count()
+
+
+def test_hexadecimal_amounts_beyond_bigint(spark, tmp_path):
+    keys = [0, 1, 922337, 922338, 36_000_001, 7_777_777_777, 2**53 - 1, 2**63 - 1, -3, -922338, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r[0]: r[1] for r in exchange.hex_amounts(spark, str(tmp_path)).collect()}
+    assert got == {k: None if k is None else float(k * 10**13) / 1e18 for k in keys}
+    assert compare(spark, connect(str(tmp_path)), exchange.hex_amounts, exchange.ORACLE["hex_amounts"], str(tmp_path)) == ""
