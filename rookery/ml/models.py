@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -64,6 +66,16 @@ def pipeline(name: str, columns: Sequence[str], config: ModelConfig, **params: o
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), FACTORY[name](config, **params)])
 
 
+#: fits that run at the same time: each is a chain of some hundred short jobs, which wait for the scheduler more than they compute
+AT_ONCE = 4
+
+
+def at_once(spark: SparkSession, steps: Sequence[Callable[[], object]]) -> list:
+    """The results of independent steps in their order, :data:`AT_ONCE` of them at a time."""
+    with ThreadPool(max(1, min(AT_ONCE, len(steps)))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(spark)(f) for f in steps], chunksize=1)
+
+
 def probability(df: DataFrame, out: str) -> DataFrame:
     """``df`` with the probability of class 1 instead of the model's vectors; margins go through the logistic function."""
     p = vector_to_array("probability")[1] if "probability" in df.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
@@ -83,26 +95,29 @@ class Ensemble:
     def fit(self, df: DataFrame) -> Ensemble:
         """Fit each learner on all rows and its sigmoid calibration on scores from folds it was not fitted on."""
         c = self.config
-        data = with_weights(df, c).persist()
-        try:
-            for name in self.names:
-                self.models[name] = pipeline(name, self.columns, c).fit(data)
-                self.calibration[name] = self._calibrate(name, data)
-        finally:
-            data.unpersist()
+        # written, not persisted: each of the many jobs would otherwise be sent out with the whole lineage of the rows
+        data = cut(with_weights(df, c).select(c.key, c.label, "weight", *self.columns), "training")
+        parts = folds(data, c.key, c.folds, c.seed)
+        sets = [data, *(parts.where(F.col("fold") != i) for i in range(c.folds))]
+        spark = df.sparkSession
+        # what comes before the learner is the same for all of them
+        before = at_once(spark, [lambda x=x: Pipeline(stages=pipeline(self.names[0], self.columns, c).getStages()[:-1]).fit(x) for x in sets])
+        learn = lambda n, b, x: PipelineModel([*b.stages, pipeline(n, self.columns, c).getStages()[-1].fit(b.transform(x))])
+        got = at_once(spark, [lambda n=n, b=b, x=x: learn(n, b, x) for n in self.names for b, x in zip(before, sets)])
+        by = {n: got[i * len(sets) : (i + 1) * len(sets)] for i, n in enumerate(self.names)}
+        self.models = {n: m[0] for n, m in by.items()}
+        self.calibration = dict(zip(by, at_once(spark, [lambda m=m: self._calibrate(m[1:], parts) for m in by.values()])))
         return self
 
-    def _calibrate(self, name: str, data: DataFrame) -> tuple[float, float]:
+    def _calibrate(self, fitted: Sequence[PipelineModel], parts: DataFrame) -> tuple[float, float]:
+        """``fitted``: one model per fold, which has not seen it."""
         c = self.config
-        k = c.folds
-        parts = folds(data, c.key, k, c.seed)
         out: DataFrame | None = None
-        for i in range(k):
-            m = pipeline(name, self.columns, c).fit(parts.where(F.col("fold") != i))
+        for i, m in enumerate(fitted):
             s = probability(m.transform(parts.where(F.col("fold") == i)), "p").select("p", c.label, "weight")
             out = s if out is None else out.unionAll(s)
         logit = F.ln(F.greatest("p", F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
-        x = VectorAssembler(inputCols=["z"], outputCol="features").transform(out.withColumn("z", logit))
+        x = VectorAssembler(inputCols=["z"], outputCol="features").transform(cut(out.select(logit.alias("z"), c.label, "weight"), "calibration"))
         lr = LogisticRegression(labelCol=c.label, featuresCol="features", weightCol="weight").fit(x)
         return float(lr.coefficients[0]), float(lr.intercept)
 

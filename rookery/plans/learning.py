@@ -15,6 +15,7 @@ from rookery.ml import models
 from rookery.ml import prepare as P
 from rookery.ml import scoring as S
 from rookery.plans.registry import Registry
+from rookery.session import cut
 from rookery.sources import views as V
 
 R = Registry()
@@ -182,7 +183,8 @@ _COLUMNS = ["p1", "p2", "p3", "casts", "replies", "reacts"]
 
 
 def _training(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = P.clean_matrix(_scores(spark, d), _COLUMNS).join(V.labels(spark, d), "fid", "left").withColumn("label", F.col("bot").cast("double")).drop("bot")
+    # the scores are written: medians, both results and every pass over them read events again otherwise
+    x = P.clean_matrix(cut(_scores(spark, d), "scores"), _COLUMNS).join(V.labels(spark, d), "fid", "left").withColumn("label", F.col("bot").cast("double")).drop("bot")
     return x.where("label IS NOT NULL"), x.where("label IS NULL").drop("label")
 
 

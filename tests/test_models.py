@@ -1,6 +1,7 @@
 """Stacking, segments, validation, single predictions and stored state."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,24 @@ def test_calibration_uses_the_folds_of_the_config(rows, monkeypatch):
     assert seen == [4]
 
 
+def test_fits_of_an_ensemble_run_at_once_with_the_same_result(rows, monkeypatch):
+    together, make = threading.Barrier(2, timeout=60), models.pipeline
+
+    def meeting(*a, **kw):
+        together.wait()  # a fit alone would wait in vain
+        return make(*a, **kw)
+
+    one = models.Ensemble(["a", "b"], CONFIG, ("gbt", "logistic"))
+    monkeypatch.setattr(models, "AT_ONCE", 1)
+    one.fit(rows)
+    monkeypatch.undo()
+    monkeypatch.setattr(models, "pipeline", meeting)
+    many = models.Ensemble(["a", "b"], CONFIG, ("gbt", "logistic")).fit(rows)
+    assert list(many.models) == ["gbt", "logistic"] and all(many.calibration[n] == pytest.approx(one.calibration[n]) for n in many.models)
+    p = [{r["fid"]: r["adjusted"] for r in e.transform(rows).collect()} for e in (one, many)]
+    assert p[0] == pytest.approx(p[1]) and len(p[0]) == 240
+
+
 def test_importances_of_several_models():
     by = {"x": [("a", 0.5), ("b", 0.3), ("c", 0.2)], "y": [("c", 0.9), ("a", 0.05), ("b", 0.05)]}
     assert models.importance_union(by, 1) == ["c", "a"] and models.importance_union(by, 2) == ["c", "a", "b"] and models.importance_union({}, 3) == []
