@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.features.common import left_joined
+from rookery.session import cut, tidy
 
 
 @dataclass(frozen=True)
@@ -82,10 +83,14 @@ class FeatureRegistry:
 
 
 class FeatureManager:
-    """Builds the matrix: all sets in one plan over all accounts, or, with a cache folder, only what is not stored."""
+    """Builds the matrix: all sets in one plan over all accounts, or, with a cache folder, only what is not stored.
 
-    def __init__(self, registry: FeatureRegistry, context: FeatureContext, cache: str | None = None, key: str = "fid"):
-        self.registry, self.context, self.cache, self.key = registry, context, cache, key
+    With ``batch``, sets are written one by one and joined by so many at a time, so that no task holds the sorts and
+    the code of more joins than that; for many sets one plan outgrows an executor.
+    """
+
+    def __init__(self, registry: FeatureRegistry, context: FeatureContext, cache: str | None = None, key: str = "fid", batch: int | None = None):
+        self.registry, self.context, self.cache, self.key, self.batch = registry, context, cache, key, batch
 
     def _built(self, n: str) -> DataFrame:
         s, c = self.registry.sets[n], self.context
@@ -106,8 +111,17 @@ class FeatureManager:
 
     def matrix(self, spine: DataFrame, sets: Iterable[str] | None = None) -> DataFrame:
         """One row per key of ``spine`` with the features of ``sets`` (None: all); missing ones are 0, NaN stays."""
-        groups = [self._built(n) for n in self.registry.order(sets)]
+        names = self.registry.order(sets)
         keys = spine.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("bigint").alias(self.key)).distinct()
+        if self.batch is None:
+            groups = [self._built(n) for n in names]
+        else:
+            keys, groups = cut(keys, "spine"), []
+            for n in names:
+                groups.append(cut(self._built(n), n))
+                tidy(self.context.spark)
+            while len(groups) > max(2, self.batch):
+                groups = [cut(left_joined(keys, groups[i : i + max(2, self.batch)], self.key), "batch") for i in range(0, len(groups), max(2, self.batch))]
         out = left_joined(keys, groups, self.key)
         return out.select(self.key, *[F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)).alias(c) for c in out.columns if c != self.key])
 

@@ -438,8 +438,8 @@ def feature_sets(spark: SparkSession, d: str) -> FeatureRegistry:
 
 
 def feature_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every implemented group on the spine of profiled accounts, missing features 0."""
-    return FeatureManager(feature_sets(spark, d), FeatureContext(spark, d)).matrix(V.profiles(spark, d))
+    """Every implemented group on the spine of profiled accounts, missing features 0; seven groups are joined at a time."""
+    return FeatureManager(feature_sets(spark, d), FeatureContext(spark, d), batch=7).matrix(V.profiles(spark, d))
 
 
 _OWN = {n: "* EXCLUDE ({}), {}".format(", ".join(c), ", ".join(f"{x} AS {n}_{x}" for x in c)) for n, c in _CLASH.items()}

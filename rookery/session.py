@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage in Python and the JVM.
+
+    Shuffle files, broadcasts and compiled code of plans that have run are freed no sooner than that; to be called
+    between the plans of a query that has many.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

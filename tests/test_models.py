@@ -115,6 +115,17 @@ def manager(spark, rows, folder, cache=None, delivery=""):
     return FeatureManager(r, FeatureContext(spark, folder, delivery=delivery), cache)
 
 
+def test_a_matrix_in_batches_is_the_same_with_few_joins(spark, rows):
+    r = FeatureRegistry()
+    for i in range(11):
+        r.register(FeatureSet(f"s{i:02}", [f"c{i}", f"d{i}"], lambda c, i=i: rows.where(F.col("fid") % 11 != i).select("fid", (F.col("a") * i).alias(f"c{i}"), (F.col("fid") * i).alias(f"d{i}"))))
+    spine = rows.select("fid").unionAll(spark.createDataFrame([(None,), (-7,)], "fid bigint"))
+    one, few = (FeatureManager(r, FeatureContext(spark, "x"), batch=b).matrix(spine) for b in (None, 3))
+    assert few.dtypes == one.dtypes and sorted(map(tuple, few.collect())) == sorted(map(tuple, one.collect())) and few.count() == 241
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    assert joins(one) == 11 and joins(few) <= 3
+
+
 def test_one_account_is_built_and_scored(spark, rows):
     m = manager(spark, rows, "x")
     model = models.Ensemble(["b", "a"], CONFIG, ("logistic",)).fit(rows)
